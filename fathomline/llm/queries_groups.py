@@ -1,4 +1,4 @@
-"""Queries on ranked groups and on repeated records (problems 2, 6 and 7), with their SQL."""
+"""Queries on ranked groups and on repeated records (problems 2, 3, 6 and 7), with their SQL."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .fuse import fused_ranking, leaders
 from .ledger import collapse, copies_of, read_payloads
+from .overlap import overlaps, record_pairs, report
 from .topn import top_n
 
 WEIGHTS = {"semantic_score": 0.5, "graph_score": 0.5}
@@ -21,6 +22,25 @@ def p2_top(spark: SparkSession, d: str) -> DataFrame:
     return top_n(table(spark, d, "generated_candidates"), "query_id", "candidate_id", "semantic_score", 10)
 
 
+def _split_records(spark: SparkSession, d: str) -> DataFrame:
+    questions = table(spark, d, "hotpot_tiny").select(F.lit("question").alias("kind"), F.col("id").alias("key"), F.col("question").alias("text"), "split", "source")
+    paragraphs = table(spark, d, "paragraphs").select(F.lit("paragraph").alias("kind"), F.col("record_id").alias("key"), "text", "split", "source")
+    return questions.unionByName(paragraphs)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return record_pairs(*overlaps(_split_records(spark, d)))
+
+
+def p3_exact(spark: SparkSession, d: str) -> DataFrame:
+    members, links = overlaps(_split_records(spark, d))
+    return record_pairs(members, links.where("exact"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return report(*overlaps(_split_records(spark, d)))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     rows = leaders(table(spark, d, "generated_candidates"), "query_id", "candidate_id", WEIGHTS, 5)
     return rows.where(F.col("graph_score") > 0).select("query_id", "candidate_id")
@@ -55,10 +75,14 @@ _KEYS = r"""r AS (SELECT record_id, title, text FROM paragraphs UNION ALL
         FROM r WHERE regexp_replace(title, '\s', '', 'g') <> '' AND regexp_replace(text, '\s', '', 'g') <> ''),
     m AS (SELECT record_id, min(record_id) OVER w AS first_id, count(*) OVER w AS copies FROM k WINDOW w AS (PARTITION BY t, x))"""
 
-QUERIES = {"p2_found": p2_found, "p2_top": p2_top, "p6_found": p6_found, "p6_ranking": p6_ranking, "p7_found": p7_found, "p7_records": p7_records}
+QUERIES = {"p2_found": p2_found, "p2_top": p2_top, "p3_found": p3_found, "p3_exact": p3_exact, "p3_report": p3_report, "p6_found": p6_found, "p6_ranking": p6_ranking, "p7_found": p7_found, "p7_records": p7_records}
 SQL = {
     "p2_found": f"SELECT query_id, candidate_id FROM ({_TOP})",
     "p2_top": _TOP,
+    "p3_exact": rf"""WITH a AS (SELECT 'question' AS kind, id AS key, question AS text, split FROM hotpot_tiny UNION ALL SELECT 'paragraph', record_id, text, split FROM paragraphs),
+        c AS (SELECT kind, key, split, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS c FROM a),
+        p AS (SELECT e.key AS e, t.key AS t FROM c e JOIN c t USING (kind, c) WHERE c <> '' AND e.split IN ('validation', 'test') AND t.split = 'train' AND e.key <> t.key)
+        SELECT DISTINCT least(e, t) AS key_a, greatest(e, t) AS key_b FROM p""",
     "p6_found": f"""WITH {_PAIRS}, s AS (SELECT query_id, candidate_id FROM p WHERE s IS NOT NULL QUALIFY rank() OVER (PARTITION BY query_id ORDER BY s DESC) <= 5),
         g AS (SELECT query_id, candidate_id, g FROM p WHERE g IS NOT NULL QUALIFY rank() OVER (PARTITION BY query_id ORDER BY g DESC) <= 5)
         SELECT query_id, candidate_id FROM s JOIN g USING (query_id, candidate_id) WHERE g > 0""",

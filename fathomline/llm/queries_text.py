@@ -1,4 +1,4 @@
-"""Queries on token counts: packing and splitting (problems 8 and 10), with their SQL."""
+"""Queries on whole texts: packing, leaks and splitting (problems 8 to 10), with their SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .leaks import leaks
 from .pack import pack_documents
 from .split import split_documents
 
@@ -26,6 +27,15 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return each.agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), (F.sum("n") / (F.count("*") * CAPACITY)).alias("used"))
 
 
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items of every document, with the number of the item's words that stand in it."""
+    return leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "words")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(table(spark, d, "documents"), "doc_id", "text", SIZE, OVERLAP)
 
@@ -38,7 +48,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 _COUNTED = r"""WITH n AS (SELECT doc_id, length(text) - length(regexp_replace(text, '[\x{4e00}-\x{9fff}]', '', 'g'))
     + len(regexp_extract_all(regexp_replace(text, '[\x{4e00}-\x{9fff}]', ' ', 'g'), '[\p{L}\p{N}]{1,8}|[^\t\n\x0B\f\r \p{L}\p{N}]')) AS n FROM documents)"""
 
-QUERIES = {"p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_pieces": p10_pieces}
 SQL = {
     "p8_found": f"{_COUNTED} SELECT DISTINCT doc_id FROM n WHERE n > {CAPACITY}",
     "p10_found": f"{_COUNTED} SELECT DISTINCT doc_id FROM n WHERE n > {SIZE}",
