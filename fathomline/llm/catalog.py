@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_groups, queries_text
+from . import queries_groups, queries_text, queries_vectors
 
-_PARTS = [queries_groups, queries_text]
+_PARTS = [queries_groups, queries_text, queries_vectors]
 
 
 def queries() -> dict:
