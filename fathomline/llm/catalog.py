@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_groups, queries_text, queries_vectors
+from . import queries_groups, queries_names, queries_text, queries_vectors
 
-_PARTS = [queries_groups, queries_text, queries_vectors]
+_PARTS = [queries_names, queries_groups, queries_text, queries_vectors]
 
 
 def queries() -> dict:
