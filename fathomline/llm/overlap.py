@@ -16,6 +16,8 @@ from .chars import chunks, mixed, words
 #: MinHash bands and rows in each.  Word bags that share 80% of the longer have a Jaccard index of 2/3 or more, and are
 #: found with a probability of 0.99 (0.9995 where they share 85%).
 BANDS, ROWS = 36, 5
+#: 64-bit words of the bit mask that travels with a record's bands.
+MASKS = 2
 TRAIN, EVALUATION = ("train",), ("validation", "test")
 
 
@@ -51,9 +53,9 @@ def band_keys(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def bit_masks(tokens: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """256 bits for each text, set at the tokens' hashes modulo 256."""
-    flags = np.zeros((len(starts), 256), np.uint8)
-    flags[np.repeat(np.arange(len(starts)), counts), (tokens & np.uint64(255)).astype(np.int64)] = 1
+    """64 * MASKS bits for each text, set at the tokens' hashes."""
+    flags = np.zeros((len(starts), 64 * MASKS), np.uint8)
+    flags[np.repeat(np.arange(len(starts)), counts), (tokens % np.uint64(64 * MASKS)).astype(np.int64)] = 1
     return np.packbits(flags, axis=1).view(np.int64)
 
 
@@ -73,10 +75,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     *(batch.column(c).take(where) for c in ("kind", "cid", "n_train", "n_eval")),
                     pa.array(n[full].astype(np.int32)),
-                    *(pa.array(np.ascontiguousarray(masks[:, k])) for k in range(4)),
+                    *(pa.array(np.ascontiguousarray(masks[:, k])) for k in range(MASKS)),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, (len(full) + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands.ravel())),
                 ],
-                names=["kind", "cid", "n_train", "n_eval", "n", "w0", "w1", "w2", "w3", "bands"],
+                names=["kind", "cid", "n_train", "n_eval", "n", *(f"w{k}" for k in range(MASKS)), "bands"],
             )
 
 
@@ -134,10 +136,10 @@ def near_links(found: DataFrame) -> DataFrame:
     losing one; the words themselves decide.
     """
     fields = [T.StructField("kind", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("cid", "n_train", "n_eval")), T.StructField("n", T.IntegerType())]
-    fields += [*(T.StructField(f"w{k}", T.LongType()) for k in range(4)), T.StructField("bands", T.ArrayType(T.LongType()))]
+    fields += [*(T.StructField(f"w{k}", T.LongType()) for k in range(MASKS)), T.StructField("bands", T.ArrayType(T.LongType()))]
     signed = found.select("kind", "cid", "n_train", "n_eval", "canon").mapInArrow(_signatures, T.StructType(fields))
     posted = stage(signed, "signatures")
-    masks = [f"w{k}" for k in range(4)]
+    masks = [f"w{k}" for k in range(MASKS)]
 
     def postings(side: str, s: str) -> DataFrame:
         rows = posted.where(F.col(side) > 0).select("kind", F.col("cid").alias(f"cid_{s}"), F.col("n").alias(f"n_{s}"), *(F.col(w).alias(f"{w}_{s}") for w in masks), F.explode("bands").alias("band"))
