@@ -49,7 +49,7 @@ def band_keys(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     for i, a in enumerate(_factors()):
         least = np.minimum.reduceat((tokens * a) >> np.uint64(32), starts)
         out[i // ROWS] = mixed(out[i // ROWS] + least + np.uint64(i))
-    return out.T
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32).T  # half the bytes; a chance meeting is only one more pair to check
 
 
 def bit_masks(tokens: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -69,7 +69,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(full):
                 continue
             starts = bounds[:-1][full]
-            bands, masks = band_keys(tokens, starts).view(np.int64), bit_masks(tokens, starts, n[full])
+            bands, masks = band_keys(tokens, starts), bit_masks(tokens, starts, n[full])
             where = pa.array(at + full)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -136,14 +136,14 @@ def near_links(found: DataFrame) -> DataFrame:
     losing one; the words themselves decide.
     """
     fields = [T.StructField("kind", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("cid", "n_train", "n_eval")), T.StructField("n", T.IntegerType())]
-    fields += [*(T.StructField(f"w{k}", T.LongType()) for k in range(MASKS)), T.StructField("bands", T.ArrayType(T.LongType()))]
+    fields += [*(T.StructField(f"w{k}", T.LongType()) for k in range(MASKS)), T.StructField("bands", T.ArrayType(T.IntegerType()))]
     signed = found.select("kind", "cid", "n_train", "n_eval", "canon").mapInArrow(_signatures, T.StructType(fields))
     posted = stage(signed, "signatures")
     masks = [f"w{k}" for k in range(MASKS)]
 
     def postings(side: str, s: str) -> DataFrame:
         rows = posted.where(F.col(side) > 0).select("kind", F.col("cid").alias(f"cid_{s}"), F.col("n").alias(f"n_{s}"), *(F.col(w).alias(f"{w}_{s}") for w in masks), F.explode("bands").alias("band"))
-        return rows.withColumn("band", F.xxhash64("kind", "band")).drop("kind")
+        return rows.withColumn("band", F.hash("kind", "band")).drop("kind")
 
     pairs = postings("n_eval", "e").join(postings("n_train", "t"), "band")
     only = lambda a, b: sum((F.bit_count(F.col(f"{w}_{a}").bitwiseAND(F.bitwise_not(F.col(f"{w}_{b}")))) for w in masks), F.lit(0))
