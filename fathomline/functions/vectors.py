@@ -61,7 +61,7 @@ def feature_hash(text: str | None, dim: int, ngrams: int, digest: str) -> np.nda
     return out / norm if norm else out
 
 
-def embed(df: DataFrame, item: str, text: str, dim: int = 256, ngrams: int = 2, digest: str = "blake2b") -> DataFrame:
+def embed(df: DataFrame, item: str, text: str, dim: int = 256, ngrams: int = 2, digest: str = "blake2b", double: bool = False) -> DataFrame:
     """(item, vector): hashing embedder, one pass without an exchange; null text gives the zero vector.
 
     With an odd number of dimensions sign and bucket are independent; with an even one the sign follows the bucket.
@@ -69,10 +69,11 @@ def embed(df: DataFrame, item: str, text: str, dim: int = 256, ngrams: int = 2,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = [feature_hash(t, dim, ngrams, digest).astype(np.float32) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=["item", "vector"])
+            vectors = [feature_hash(t, dim, ngrams, digest) for t in batch.column(1).to_pylist()]
+            kind = pa.float64() if double else pa.float32()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.astype(kind.to_pandas_dtype()) for v in vectors], pa.list_(kind))], names=["item", "vector"])
 
-    schema = T.StructType([T.StructField("item", df.schema[item].dataType), T.StructField("vector", T.ArrayType(T.FloatType()))])
+    schema = T.StructType([T.StructField("item", df.schema[item].dataType), T.StructField("vector", T.ArrayType(T.DoubleType() if double else T.FloatType()))])
     return df.select(F.col(item), F.col(text)).mapInArrow(run, schema).withColumnRenamed("item", item)
 
 

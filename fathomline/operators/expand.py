@@ -49,9 +49,9 @@ def _frontier(rows: DataFrame, limit: int) -> DataFrame:
 def start(found: DataFrame, graph: Graph) -> DataFrame:
     """Best path to each node that a seed is linked to (query_id, node, score, path, relations)."""
     by = Window.partitionBy("candidate_id").orderBy(F.desc("weight"), "node_id", "relation")
-    links = graph.links.withColumn("at", F.row_number().over(by))
+    links = graph.links.withColumn("place", F.row_number().over(by))
     c = found.where("kind = 'candidate'").join(links, F.col("target") == F.col("candidate_id"))
-    c = c.select("query_id", F.col("node_id").alias("node"), (F.col("score") * _weight("weight")).alias("score"), F.array(candidate_node(F.col("target")), "node_id").alias("path"), F.array("relation").alias("relations"), F.col("pos").alias("o1"), F.col("at").alias("o2"))
+    c = c.select("query_id", F.col("node_id").alias("node"), (F.col("score") * _weight("weight")).alias("score"), F.array(candidate_node(F.col("target")), "node_id").alias("path"), F.array("relation").alias("relations"), F.col("pos").alias("o1"), F.col("place").alias("o2"))
     n = found.where("kind = 'node'").select("query_id", F.col("target").alias("node"), "score", F.array("target").alias("path"), F.array().cast("array<string>").alias("relations"), F.col("pos").alias("o1"), F.lit(0).alias("o2"))
     return _best(c.unionByName(n))
 
@@ -70,8 +70,8 @@ def emissions(found: DataFrame, graph: Graph, e: Expansion) -> DataFrame:
     visited = front.select("query_id", "node")
     out = _emit(front, links, 0)
     for d in range(e.hops):
-        steps = front.join(edges.select(F.col("source").alias("node"), F.col("target").alias("_n"), F.col("relation").alias("_r"), "weight", "at"), "node")
-        steps = steps.select("query_id", F.col("_n").alias("node"), (F.col("score") * F.lit(STEP) * _weight("weight")).alias("score"), F.concat("path", F.array("_n")).alias("path"), F.concat("relations", F.array("_r")).alias("relations"), F.col("f").alias("o1"), F.col("at").alias("o2"))
+        steps = front.join(edges.select(F.col("source").alias("node"), F.col("target").alias("_n"), F.col("relation").alias("_r"), "weight", "place"), "node")
+        steps = steps.select("query_id", F.col("_n").alias("node"), (F.col("score") * F.lit(STEP) * _weight("weight")).alias("score"), F.concat("path", F.array("_n")).alias("path"), F.concat("relations", F.array("_r")).alias("relations"), F.col("f").alias("o1"), F.col("place").alias("o2"))
         new = _best(steps)
         old = best.select("query_id", "node", F.struct("score", "path", "relations").alias("_old"))
         both = old.join(new.select("query_id", "node", F.struct("score", "path", "relations").alias("_new")), ["query_id", "node"], "full_outer")
@@ -154,18 +154,18 @@ def emissions_in_order(found: DataFrame, graph: Graph, e: Expansion) -> DataFram
     """
     links, edges = capped_links(graph.links, e.candidates_per_node), capped_edges(graph.edges, e.neighbours)
     by = Window.partitionBy("candidate_id").orderBy(F.desc("weight"), "node_id", "relation")
-    assoc = graph.links.withColumn("at", F.row_number().over(by))
-    seed = found.where("kind = 'candidate'").join(assoc, F.col("target") == F.col("candidate_id")).select("query_id", F.lit("seed").alias("kind"), F.col("target").alias("a"), F.col("node_id").alias("b"), "relation", (F.col("score") * _weight("weight")).alias("weight"), F.col("pos").cast("long").alias("o1"), F.col("at").cast("long").alias("o2"))
+    assoc = graph.links.withColumn("place", F.row_number().over(by))
+    seed = found.where("kind = 'candidate'").join(assoc, F.col("target") == F.col("candidate_id")).select("query_id", F.lit("seed").alias("kind"), F.col("target").alias("a"), F.col("node_id").alias("b"), "relation", (F.col("score") * _weight("weight")).alias("weight"), F.col("pos").cast("long").alias("o1"), F.col("place").cast("long").alias("o2"))
     node = found.where("kind = 'node'").select("query_id", F.lit("node").alias("kind"), F.lit(None).cast("string").alias("a"), F.col("target").alias("b"), F.lit(None).cast("string").alias("relation"), F.col("score").alias("weight"), F.col("pos").cast("long").alias("o1"), F.lit(0).cast("long").alias("o2"))
     starts = seed.unionByName(node)
     reached = starts.select("query_id", F.col("b").alias("n")).distinct()
     front, used = reached, None
     for _ in range(e.hops):
-        step = front.join(edges, F.col("n") == F.col("source")).select("query_id", F.col("source").alias("a"), F.col("target").alias("b"), "relation", "weight", F.col("at").cast("long").alias("o2"))
+        step = front.join(edges, F.col("n") == F.col("source")).select("query_id", F.col("source").alias("a"), F.col("target").alias("b"), "relation", "weight", F.col("place").cast("long").alias("o2"))
         used = step if used is None else used.unionByName(step)
         front = step.select("query_id", F.col("b").alias("n")).distinct().join(reached, ["query_id", "n"], "left_anti")
         reached = reached.unionByName(front)
-    out = reached.join(links, F.col("n") == F.col("node_id")).select("query_id", F.lit("link").alias("kind"), F.col("n").alias("a"), F.col("candidate_id").alias("b"), "relation", "weight", F.lit(0).cast("long").alias("o1"), F.col("at").cast("long").alias("o2"))
+    out = reached.join(links, F.col("n") == F.col("node_id")).select("query_id", F.lit("link").alias("kind"), F.col("n").alias("a"), F.col("candidate_id").alias("b"), "relation", "weight", F.lit(0).cast("long").alias("o1"), F.col("place").cast("long").alias("o2"))
     ego = starts.unionByName(out)
     if used is not None:
         ego = ego.unionByName(used.withColumn("kind", F.lit("edge")).withColumn("o1", F.lit(0).cast("long")))

@@ -91,7 +91,7 @@ def lexical_links(df: DataFrame, item: str, text: str, limit: int = 10, stop_wor
     return ranked.select("candidate_id", F.concat(F.lit("lexical::"), "term").alias("node_id"), "tf", "rank")
 
 
-def capped(df: DataFrame, key: str, order: list[Column], limit: int, position: str = "at") -> DataFrame:
+def capped(df: DataFrame, key: str, order: list[Column], limit: int, position: str = "place") -> DataFrame:
     """The first ``limit`` rows of every key: applied once to the static graph, so that no hub is ever walked whole."""
     by = Window.partitionBy(key).orderBy(*order)
     return df.withColumn(position, F.row_number().over(by)).where(F.col(position) <= limit)

@@ -56,11 +56,11 @@ def rank(pooled: DataFrame, k: int, ws: float = 0.5, wg: float = 0.5) -> DataFra
 
 
 def evidence_nodes(chosen: DataFrame, paths: DataFrame) -> DataFrame:
-    """Nodes of the paths of chosen candidates, in order of first appearance: (query_id, candidate_id, at, node_id)."""
+    """Nodes of the paths of chosen candidates, in order of first appearance: (query_id, candidate_id, place, node_id)."""
     used = paths.join(chosen.select("query_id", "candidate_id"), ["query_id", "candidate_id"], "left_semi")
     at = used.select("query_id", "candidate_id", "path_rank", F.posexplode("path").alias("p", "node_id")).groupBy("query_id", "candidate_id", "node_id").agg(F.min(F.struct("path_rank", "p")).alias("o"))
     by = Window.partitionBy("query_id", "candidate_id").orderBy("o")
-    return at.withColumn("at", F.row_number().over(by)).drop("o")
+    return at.withColumn("place", F.row_number().over(by)).drop("o")
 
 
 def evidence_edges(chosen: DataFrame, paths: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def evidence_edges(chosen: DataFrame, paths: DataFrame) -> DataFrame:
     at = used.where(n > 0).select("query_id", "candidate_id", "path_rank", F.posexplode(steps).alias("p", "x")).select("query_id", "candidate_id", "path_rank", "p", F.col("x.s").alias("source"), F.col("x.t").alias("target"), F.col("x.r").alias("relation"))
     once = at.groupBy("query_id", "candidate_id", "source", "target", "relation").agg(F.min(F.struct("path_rank", "p")).alias("o"))
     by = Window.partitionBy("query_id", "candidate_id").orderBy("o")
-    return once.withColumn("at", F.row_number().over(by)).drop("o")
+    return once.withColumn("place", F.row_number().over(by)).drop("o")
 
 
 def graph_features(chosen: DataFrame, paths: DataFrame) -> DataFrame:
