@@ -126,6 +126,16 @@ def score_sets(rows: DataFrame, model: Callable, k: int, candidates: int = 100)
     return top(scored, k, "neural_score", rank="neural_rank")
 
 
+def _gradient(w: np.ndarray):
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        x, y = np.stack(g["features"].to_numpy()), g["label"].to_numpy()
+        s = x @ w
+        p = np.exp(s - s.max())
+        return pd.DataFrame({"g": [((p / p.sum() - y / y.sum()) @ x).tolist()], "n": [1]})
+
+    return run
+
+
 def fit_listwise(rows: DataFrame, epochs: int = 50, rate: float = 0.5, decay: float = 0.01) -> np.ndarray:
     """Weights of a linear listwise ranker by full-batch gradient descent.
 
@@ -139,15 +149,7 @@ def fit_listwise(rows: DataFrame, epochs: int = 50, rate: float = 0.5, decay: fl
             raise ValueError("no query has a positive")
         w = np.zeros(one[0])
         for _ in range(epochs):
-
-            def gradient(g: pd.DataFrame, w: np.ndarray = w) -> pd.DataFrame:
-                x, y = np.stack(g["features"].to_numpy()), g["label"].to_numpy()
-                s = x @ w
-                p = np.exp(s - s.max())
-                grad = (p / p.sum() - y / y.sum()) @ x
-                return pd.DataFrame({"g": [grad.tolist()], "n": [1]})
-
-            each = valid.groupBy("query_id").applyInPandas(gradient, "g array<double>, n long")
+            each = valid.groupBy("query_id").applyInPandas(_gradient(w), "g array<double>, n long")
             total = each.select("n", F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
             g = np.zeros(len(w))
             for r in total:

@@ -17,6 +17,7 @@ from .graph import citation_graph, lexical_links
 from .queries_ranking import CORPUS, GRAPH, norm_sql, strip_sql, vectors_sql
 from .semantic import search
 
+# DuckDB 2.0 takes "NOT isnan(x)" for true on some Parquet files (by their statistics), so its SQL compares text.
 KS = [5, 10, 20]
 
 
@@ -207,7 +208,7 @@ _OR_EMPTY = "coalesce({}, '')"
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 _QRELS = f"""{CORPUS}, ht AS (SELECT DISTINCT id AS query_id, unnest(supporting_facts.title) AS title FROM hotpot_tiny WHERE id IS NOT NULL),
     firsts AS (SELECT candidate_id, arg_min(title, record_id) AS title FROM ck GROUP BY candidate_id), qrels AS (SELECT DISTINCT query_id, candidate_id FROM ht JOIN firsts USING (title))"""
-_RANKING = """best AS (SELECT query_id, candidate_id, max(semantic_score) AS score FROM generated_candidates WHERE semantic_score IS NOT NULL AND NOT isnan(semantic_score) GROUP BY ALL),
+_RANKING = """best AS (SELECT query_id, candidate_id, max(semantic_score) AS score FROM generated_candidates WHERE semantic_score IS NOT NULL AND CAST(semantic_score AS VARCHAR) <> 'nan' GROUP BY ALL),
     ranking AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS rank FROM best)"""
 
 
@@ -290,7 +291,7 @@ SQL = {
         SELECT query_id, pos, sha1({strip_sql('title')} || chr(10) || text) AS candidate_id, title, coalesce(list_contains(s, title), false) AS positive FROM u""",
     "missing_positive_titles": """WITH o AS (SELECT * FROM hotpot_tiny WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at NULLS FIRST, question NULLS FIRST) = 1),
         m AS (SELECT id AS query_id, list_sort(list_distinct(list_filter(supporting_facts.title, lambda t: NOT list_contains(context.title, t)))) AS m FROM o) SELECT query_id, array_to_string(m, '|') AS missing FROM m WHERE len(m) > 0""",
-    "qrels_first_wins": "SELECT query_id, candidate_id, min(ingested_at) AS first_at FROM generated_candidates WHERE graph_score > 0 AND NOT isnan(graph_score) GROUP BY ALL",
+    "qrels_first_wins": "SELECT query_id, candidate_id, min(ingested_at) AS first_at FROM generated_candidates WHERE graph_score > 0 AND CAST(graph_score AS VARCHAR) <> 'nan' GROUP BY ALL",
     "kg_build_links": f"WITH {CORPUS}, {GRAPH} SELECT candidate_id, node_id, relation, weight FROM links",
     "kg_build_edges_bidirectional": f"WITH {CORPUS}, {GRAPH} SELECT source, target, relation, paragraph_id, 1::DOUBLE AS weight FROM edges",
     "kg_build_nodes": f"WITH {CORPUS}, {GRAPH} SELECT DISTINCT node_id FROM links",
@@ -307,7 +308,7 @@ SQL = {
     "mrr": f"WITH {_QRELS}, {_RANKING}, {metrics_sql()} SELECT query_id, {_rounded(['mrr'])} FROM each_",
     "macro_metrics": f"WITH {_QRELS}, {_RANKING}, {metrics_sql()} SELECT count(*) AS queries, {_rounded(_EVERY, 'avg({})')} FROM each_",
     "train_metrics": f"WITH {_QRELS}, {_RANKING}, {metrics_sql(retrieved_only=True)} SELECT count(*) AS queries, {_rounded(_EVERY, 'avg({})')} FROM each_",
-    "stage_metrics": f"""WITH {_QRELS}, {_RANKING}, gb AS (SELECT query_id, candidate_id, max(graph_score) AS score FROM generated_candidates WHERE graph_score IS NOT NULL AND NOT isnan(graph_score) GROUP BY ALL),
+    "stage_metrics": f"""WITH {_QRELS}, {_RANKING}, gb AS (SELECT query_id, candidate_id, max(graph_score) AS score FROM generated_candidates WHERE graph_score IS NOT NULL AND CAST(graph_score AS VARCHAR) <> 'nan' GROUP BY ALL),
         granking AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS rank FROM gb QUALIFY rank <= 100), {metrics_sql(ks=[5, 10])}, {metrics_sql('granking', ks=[5], p='g')} {_LONG}""",
     "listwise_loss": f"""{_LABELS}, m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM lab)
         SELECT query_id, round(any_value(m) + ln(sum(exp(score - m))) - sum(score * label) / sum(label), 9) AS loss FROM m GROUP BY query_id HAVING sum(label) > 0""",
