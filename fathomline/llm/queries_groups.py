@@ -65,10 +65,10 @@ def p7_records(spark: SparkSession, d: str) -> DataFrame:
     return collapse(_records(spark, d), "record_id", ["title", "text"])[0].select(F.col("first_id").alias("record_id"), "copies")
 
 
-_BEST = "WITH b AS (SELECT query_id, candidate_id, max(semantic_score) AS semantic_score FROM generated_candidates WHERE semantic_score IS NOT NULL AND NOT isnan(semantic_score) GROUP BY ALL)"
+_BEST = "WITH b AS (SELECT query_id, candidate_id, max(semantic_score) AS semantic_score FROM generated_candidates WHERE semantic_score IS NOT NULL AND CAST(semantic_score AS VARCHAR) <> 'nan' GROUP BY ALL)"
 _TOP = f"{_BEST} SELECT query_id, candidate_id, semantic_score FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY semantic_score DESC, candidate_id) <= 10"
-_PAIRS = """p AS (SELECT query_id, candidate_id, max(CASE WHEN NOT isnan(semantic_score) THEN semantic_score END) AS s,
-    max(CASE WHEN NOT isnan(graph_score) THEN graph_score END) AS g FROM generated_candidates GROUP BY ALL)"""
+_PAIRS = """p AS (SELECT query_id, candidate_id, max(CASE WHEN CAST(semantic_score AS VARCHAR) <> 'nan' THEN semantic_score END) AS s,
+    max(CASE WHEN CAST(graph_score AS VARCHAR) <> 'nan' THEN graph_score END) AS g FROM generated_candidates GROUP BY ALL)"""
 _KEYS = r"""r AS (SELECT record_id, title, text FROM paragraphs UNION ALL
         SELECT record_id, payload->>'$.title', payload->>'$.text' FROM (SELECT record_id, CASE WHEN json_valid(payload) THEN payload END AS payload FROM paragraph_raw) WHERE payload IS NOT NULL),
     k AS (SELECT record_id, regexp_replace(lower(title), '[^\p{L}\p{N}]+', '', 'g') AS t, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS x
