@@ -56,19 +56,17 @@ def start(found: DataFrame, graph: Graph) -> DataFrame:
     return _best(c.unionByName(n))
 
 
-def _emit(front: DataFrame, links: DataFrame, depth: int) -> DataFrame:
-    out = front.join(links.select(F.col("node_id").alias("node"), "candidate_id", F.col("relation").alias("_r"), "weight"), "node")
-    score = F.col("score") * F.lit(math.exp(-DECAY * (depth + 1))) * _weight("weight")
-    return out.select("query_id", "candidate_id", score.alias("score"), F.concat("path", F.array(candidate_node(F.col("candidate_id")))).alias("path"), F.concat("relations", F.array("_r")).alias("relations"))
-
+def frontiers(found: DataFrame, graph: Graph, e: Expansion) -> DataFrame:
+    """Nodes that are expanded at each depth, with the best path to each (query_id, node, score, path, relations, depth).
 
-def emissions(found: DataFrame, graph: Graph, e: Expansion) -> DataFrame:
-    """All paths that reach a candidate, level by level (every hop sees the paths as they were when it began)."""
-    links, edges = capped_links(graph.links, e.candidates_per_node), capped_edges(graph.edges, e.neighbours)
+    Level by level: every hop sees the paths as they were when it began.  A query has at most ``nodes_per_hop`` rows a
+    depth, so this is the small table from which scores and, for chosen candidates only, paths are made.
+    """
+    edges = capped_edges(graph.edges, e.neighbours)
     best = start(found, graph)
     front = _frontier(best, e.nodes_per_hop)
     visited = front.select("query_id", "node")
-    out = _emit(front, links, 0)
+    out = front.withColumn("depth", F.lit(0))
     for d in range(e.hops):
         steps = front.join(edges.select(F.col("source").alias("node"), F.col("target").alias("_n"), F.col("relation").alias("_r"), "weight", "place"), "node")
         steps = steps.select("query_id", F.col("_n").alias("node"), (F.col("score") * F.lit(STEP) * _weight("weight")).alias("score"), F.concat("path", F.array("_n")).alias("path"), F.concat("relations", F.array("_r")).alias("relations"), F.col("f").alias("o1"), F.col("place").alias("o2"))
@@ -80,28 +78,47 @@ def emissions(found: DataFrame, graph: Graph, e: Expansion) -> DataFrame:
         best = both.select("query_id", "node", "b.*")
         front = _frontier(both.where("_up").select("query_id", "node", "b.*").join(visited, ["query_id", "node"], "left_anti"), e.nodes_per_hop)
         visited = visited.unionByName(front.select("query_id", "node"))
-        out = out.unionByName(_emit(front, links, d + 1))
-    return out
+        out = out.unionByName(front.withColumn("depth", F.lit(d + 1)))
+    return out.drop("f")
+
+
+def emitted(fronts: DataFrame, graph: Graph, e: Expansion) -> DataFrame:
+    """All paths of expanded nodes on to candidates; where only scores are used, the paths are never put together."""
+    links = capped_links(graph.links, e.candidates_per_node)
+    out = fronts.join(links.select(F.col("node_id").alias("node"), "candidate_id", F.col("relation").alias("_r"), "weight"), "node")
+    decay = F.element_at(F.array(*(F.lit(math.exp(-DECAY * (d + 1))) for d in range(e.hops + 1))), F.col("depth") + 1)
+    score = F.col("score") * decay * _weight("weight")
+    return out.select("query_id", "candidate_id", score.alias("score"), F.concat("path", F.array(candidate_node(F.col("candidate_id")))).alias("path"), F.concat("relations", F.array("_r")).alias("relations"))
 
 
-def best_paths(emitted: DataFrame, limit: int) -> DataFrame:
+def emissions(found: DataFrame, graph: Graph, e: Expansion) -> DataFrame:
+    return emitted(frontiers(found, graph, e), graph, e)
+
+
+def best_paths(rows: DataFrame, limit: int) -> DataFrame:
     """The best ``limit`` paths of every (query, candidate): by -score, then nodes (then relations)."""
     by = Window.partitionBy("query_id", "candidate_id").orderBy(F.desc("score"), "path", "relations")
-    return emitted.withColumn("path_rank", F.row_number().over(by)).where(F.col("path_rank") <= limit)
+    return rows.withColumn("path_rank", F.row_number().over(by)).where(F.col("path_rank") <= limit)
+
 
+def graph_scores(rows: DataFrame, aggregation: str, limit: int) -> DataFrame:
+    """(query_id, candidate_id, graph_score, best): ``max``, ``sum`` (at most 1) or ``noisy_or`` of the ``limit`` best scores.
 
-def graph_scores(paths: DataFrame, aggregation: str) -> DataFrame:
-    """(query_id, candidate_id, graph_score, best): ``max``, ``sum`` (at most 1) or ``noisy_or`` of the paths kept."""
+    Needs no paths.  ``max`` is aggregated before the exchange.
+    """
     s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
+    if aggregation not in ("max", "sum", "noisy_or"):
+        raise ValueError(f"unknown aggregation: {aggregation}")
+    if aggregation != "max":
+        by = Window.partitionBy("query_id", "candidate_id").orderBy(F.desc("score"))
+        rows = rows.select("query_id", "candidate_id", "score", F.row_number().over(by).alias("_r")).where(F.col("_r") <= limit)
     if aggregation == "max":
         value = F.max(s)
     elif aggregation == "sum":
         value = F.least(F.lit(1.0), F.sum(s))
-    elif aggregation == "noisy_or":  # at most paths_per_candidate factors, in a fixed order
+    else:  # at most ``limit`` factors, in a fixed order
         value = 1 - F.aggregate(F.array_sort(F.collect_list(s)), F.lit(1.0), lambda a, x: a * (1 - x))
-    else:
-        raise ValueError(f"unknown aggregation: {aggregation}")
-    return paths.groupBy("query_id", "candidate_id").agg(value.alias("graph_score"), F.max("score").alias("best"))
+    return rows.groupBy("query_id", "candidate_id").agg(value.alias("graph_score"), F.max("score").alias("best"))
 
 
 # ---- The order-dependent variant --------------------------------------------------------------------------------------

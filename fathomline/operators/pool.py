@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2, unit_interval
+from ..plans.stage import stage
 from .expand import Expansion, graph_scores
 from .semantic import DIGITS, allowed_pairs, top
 
@@ -23,13 +24,13 @@ def pair_scores(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> Data
     return pairs.select("query_id", "candidate_id").distinct().join(c, "candidate_id").join(q, "query_id").select("query_id", "candidate_id", F.round(dot(F.col("_q"), F.col("_c")), DIGITS).alias("score"))
 
 
-def pool(hits: DataFrame, paths: DataFrame, queries: DataFrame, corpus: DataFrame, e: Expansion) -> DataFrame:
+def pool(hits: DataFrame, emitted: DataFrame, queries: DataFrame, corpus: DataFrame, e: Expansion) -> DataFrame:
     """(query_id, candidate_id, semantic_score, graph_score, by_search, by_graph).
 
     The best ``graph_candidates`` by graph enter; a semantic hit beyond them keeps its graph score all the same.  What
     the query excludes or doesn't allow never enters (queries: query_id, vector, excluded, allowed).
     """
-    scored = graph_scores(paths, e.aggregation)
+    scored = stage(graph_scores(emitted, e.aggregation, e.paths_per_candidate), "graph_scores")
     entering = top(scored, e.graph_candidates, "best", rank="_g").select("query_id", "candidate_id", F.lit(True).alias("by_graph"))
     found = hits.select("query_id", "candidate_id", F.lit(True).alias("by_search")).join(entering, ["query_id", "candidate_id"], "full_outer")
     found = allowed_pairs(found, queries)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import SPACES
 from ..functions.vectors import unit_interval
 from ..plans.retrieve import Retrieval, begin, over
+from ..plans.stage import stage
 from ..sources.derived import DIM, corpus_vectors, graph, inputs, named_seeds, query_vectors
 from ..sources.tables import table
 from . import expand, features, pool, rerank
@@ -85,12 +86,12 @@ def _expanded(hops: int):
 
 def graph_expand_exact(spark: SparkSession, d: str) -> DataFrame:
     f = over(spark, d, Retrieval(in_order=True))
-    return f.paths.select("query_id", "candidate_id", "path_rank", F.round("score", 9).alias("score"), F.array_join("path", "|").alias("path"))
+    return f.paths().select("query_id", "candidate_id", "path_rank", F.round("score", 9).alias("score"), F.array_join("path", "|").alias("path"))
 
 
 def _aggregated(how: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return expand.graph_scores(over(spark, d).paths, how).select("query_id", "candidate_id", F.round("graph_score", 9).alias("graph_score"))
+        return expand.graph_scores(over(spark, d).emitted, how, E.paths_per_candidate).select("query_id", "candidate_id", F.round("graph_score", 9).alias("graph_score"))
 
     return query
 
@@ -107,40 +108,46 @@ def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
     return over(spark, d).ranked.select("query_id", "rank", "candidate_id", F.round("score", 7).alias("score"))
 
 
-def evidence_nodes(spark: SparkSession, d: str) -> DataFrame:
+def _chosen(spark: SparkSession, d: str):
+    """The plan and its ranked candidates, written: evidence is looked up for these alone."""
     f = over(spark, d)
-    return pool.evidence_nodes(f.ranked, f.paths)
+    return f, stage(f.ranked, "ranked")
+
+
+def evidence_nodes(spark: SparkSession, d: str) -> DataFrame:
+    f, chosen = _chosen(spark, d)
+    return pool.evidence_nodes(chosen, f.paths(chosen))
 
 
 def evidence_edges(spark: SparkSession, d: str) -> DataFrame:
-    f = over(spark, d)
-    return pool.evidence_edges(f.ranked, f.paths)
+    f, chosen = _chosen(spark, d)
+    return pool.evidence_edges(chosen, f.paths(chosen))
 
 
 def graph_features(spark: SparkSession, d: str) -> DataFrame:
-    f = over(spark, d)
-    return pool.graph_features(f.ranked, f.paths)
+    f, chosen = _chosen(spark, d)
+    return pool.graph_features(chosen, stage(f.paths(chosen), "paths"))
 
 
 def numeric_features(spark: SparkSession, d: str) -> DataFrame:
-    f = over(spark, d)
-    n = features.numeric(f.ranked, pool.graph_features(f.ranked, f.paths))
+    f, chosen = _chosen(spark, d)
+    n = features.numeric(chosen, pool.graph_features(chosen, stage(f.paths(chosen), "paths")))
     return n.select("query_id", "candidate_id", "rank", *(F.round(c, 7).alias(c) for c in features.NUMERIC))
 
 
-def _full(f) -> DataFrame:
-    n = features.numeric(f.ranked, pool.graph_features(f.ranked, f.paths))
+def _full(f, chosen: DataFrame) -> DataFrame:
+    n = features.numeric(chosen, pool.graph_features(chosen, stage(f.paths(chosen), "paths")))
     return features.full(n, f.inputs.vectors, f.inputs.corpus_vectors)
 
 
 def pointwise_rerank_zero_head(spark: SparkSession, d: str) -> DataFrame:
-    out = features.score_points(_full(over(spark, d)), features.PointwiseMLP(4 * DIM + 7), 10)
+    out = features.score_points(_full(*_chosen(spark, d)), features.PointwiseMLP(4 * DIM + 7), 10)
     return out.select("query_id", "candidate_id", F.round("neural_score", 7).alias("neural_score"), "neural_rank")
 
 
 def set_transformer_rerank(spark: SparkSession, d: str) -> DataFrame:
     model = features.SetTransformer(4 * DIM + 7, hidden=64, heads=4, layers=2, feedforward=128)
-    return features.score_sets(_full(over(spark, d)), model, 10, R.top_k)
+    return features.score_sets(_full(*_chosen(spark, d)), model, 10, R.top_k)
 
 
 def llm_passthrough_rerank(spark: SparkSession, d: str) -> DataFrame:

@@ -143,8 +143,8 @@ class Pipeline:
     def retrieval(self) -> None:
         f = self._found()
         f.ranked.write.mode("overwrite").parquet(self.path("retrieval"))
-        graph_features(self.read("retrieval"), f.paths).write.mode("overwrite").parquet(self.path("graph_features"))
-        f.paths.join(self.read("retrieval").select("query_id", "candidate_id"), ["query_id", "candidate_id"], "left_semi").write.mode("overwrite").parquet(self.path("paths"))
+        f.paths(self.read("retrieval")).write.mode("overwrite").parquet(self.path("paths"))
+        graph_features(self.read("retrieval"), self.read("paths")).write.mode("overwrite").parquet(self.path("graph_features"))
         self._finish("retrieval", queries=self.read("retrieval").select("query_id").distinct().count())
 
     def _features(self) -> DataFrame:

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from ..operators.expand import Expansion, best_paths, emissions, emissions_in_order
+from ..operators.expand import Expansion, best_paths, emissions_in_order, emitted, frontiers
 from ..operators.pool import pair_scores, pool, rank
 from ..operators.seeds import SeedRules, known_seeds, seeds
 from ..operators.semantic import search
@@ -30,11 +30,18 @@ class Found:
     inputs: Inputs
     hits: DataFrame
     seeds: DataFrame
-    paths: DataFrame | None = None
+    emitted: DataFrame | None = None
     pool: DataFrame | None = None
     ranked: DataFrame | None = None
     options: Retrieval = field(default_factory=Retrieval)
 
+    def paths(self, chosen: DataFrame | None = None) -> DataFrame:
+        """The best paths of chosen candidates (of all, if none are given).  Only these are ever put together."""
+        rows = self.emitted
+        if chosen is not None:
+            rows = rows.join(chosen.select("query_id", "candidate_id"), ["query_id", "candidate_id"], "left_semi")
+        return best_paths(rows, self.options.expansion.paths_per_candidate)
+
 
 def begin(i: Inputs, named: DataFrame, r: Retrieval = Retrieval()) -> Found:
     """Hits and seeds; each is written, as several later steps read it."""
@@ -45,9 +52,11 @@ def begin(i: Inputs, named: DataFrame, r: Retrieval = Retrieval()) -> Found:
 
 def retrieve(i: Inputs, named: DataFrame, r: Retrieval = Retrieval()) -> Found:
     f = begin(i, named, r)
-    walk = emissions_in_order if r.in_order else emissions
-    f.paths = stage(best_paths(walk(f.seeds, i.graph, r.expansion), r.expansion.paths_per_candidate), "paths")
-    f.pool = pool(f.hits, f.paths, i.vectors, i.corpus_vectors, r.expansion)
+    if r.in_order:
+        f.emitted = stage(emissions_in_order(f.seeds, i.graph, r.expansion), "emitted")
+    else:
+        f.emitted = emitted(stage(frontiers(f.seeds, i.graph, r.expansion), "frontiers"), i.graph, r.expansion)
+    f.pool = pool(f.hits, f.emitted, i.vectors, i.corpus_vectors, r.expansion)
     f.ranked = rank(f.pool, r.top_k, r.semantic_weight, r.graph_weight)
     return f
 

@@ -56,14 +56,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
 
 
 def drop_stage(df: DataFrame) -> None:
-    """Delete the files of a stage that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _remove(spark, path)
+    """Delete a stage that nothing will read any more (a frame that is no stage is left alone)."""
+    path = getattr(df, "_stage_path", None)
+    if path is not None:
+        _remove(df.sparkSession, path)
 
 
 def width(spark: SparkSession) -> int:

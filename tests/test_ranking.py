@@ -135,9 +135,9 @@ def test_expansion_against_walk(spark, seed):
     kept = expand.best_paths(expand.emissions(found, g, e), 2)
     assert kept.groupBy("query_id", "candidate_id").count().agg(F.max("count")).first()[0] <= 2
     for how in ("max", "sum", "noisy_or"):
-        assert kept.count() and all(0 <= x["graph_score"] <= 1 for x in expand.graph_scores(kept, how).collect())
+        assert kept.count() and all(0 <= x["graph_score"] <= 1 for x in expand.graph_scores(kept, how, 2).collect())
     with pytest.raises(ValueError):
-        expand.graph_scores(kept, "mean")
+        expand.graph_scores(kept, "mean", 2)
 
 
 def test_a_seed_reaches_itself_with_two_decays(spark):
