@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.skew import join_by_key
-from ..plans.stage import stage, width
+from ..plans.stage import drop_stage, stage, width
 
 #: Neighbours kept while the graph is built, trees, bits of a tree's signature, rows compared in a sorted run.
 K, TREES, BITS, WINDOW = 10, 14, 48, 48
@@ -211,7 +211,8 @@ def build(df: DataFrame, item: str, vector: str, k: int = K, rounds: int = ROUND
     graph = stage(_top(first, k), "graph")
     vectors = stage(classes.select("cid", "vector").mapInArrow(_half, "u long, x binary"), "half")
     for _ in range(rounds):
-        graph = _round(graph, vectors, k)
+        before, graph = graph, _round(graph, vectors, k)
+        drop_stage(before)
         news, edges = graph.agg(F.count_if("new"), F.count("*")).first()
         if news <= SETTLED * edges:
             break
