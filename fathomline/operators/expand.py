@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stage import stage
 from .graph import Graph, capped_edges, capped_links
 
 #: Fixed value: what a path loses at every edge, and what a candidate loses for every hop it is away.
@@ -62,21 +63,23 @@ def frontiers(found: DataFrame, graph: Graph, e: Expansion) -> DataFrame:
     Level by level: every hop sees the paths as they were when it began.  A query has at most ``nodes_per_hop`` rows a
     depth, so this is the small table from which scores and, for chosen candidates only, paths are made.
     """
-    edges = capped_edges(graph.edges, e.neighbours)
-    best = start(found, graph)
-    front = _frontier(best, e.nodes_per_hop)
-    visited = front.select("query_id", "node")
-    out = front.withColumn("depth", F.lit(0))
+    edges = stage(capped_edges(graph.edges, e.neighbours), "capped_edges")
+    first = stage(start(found, graph), "best")  # each hop's table is read several times by the next: it is written once
+    front = _frontier(first, e.nodes_per_hop)
+    best, out, visited = first.select("query_id", "node", "score"), front.withColumn("depth", F.lit(0)), front.select("query_id", "node")
     for d in range(e.hops):
-        steps = front.join(edges.select(F.col("source").alias("node"), F.col("target").alias("_n"), F.col("relation").alias("_r"), "weight", "place"), "node")
-        steps = steps.select("query_id", F.col("_n").alias("node"), (F.col("score") * F.lit(STEP) * _weight("weight")).alias("score"), F.concat("path", F.array("_n")).alias("path"), F.concat("relations", F.array("_r")).alias("relations"), F.col("f").alias("o1"), F.col("place").alias("o2"))
-        new = _best(steps)
-        old = best.select("query_id", "node", F.struct("score", "path", "relations").alias("_old"))
-        both = old.join(new.select("query_id", "node", F.struct("score", "path", "relations").alias("_new")), ["query_id", "node"], "full_outer")
-        improved = F.col("_new").isNotNull() & (F.col("_old").isNull() | (F.col("_new.score") > F.col("_old.score")))
-        both = both.select("query_id", "node", F.when(improved, F.col("_new")).otherwise(F.col("_old")).alias("b"), improved.alias("_up"))
-        best = both.select("query_id", "node", "b.*")
-        front = _frontier(both.where("_up").select("query_id", "node", "b.*").join(visited, ["query_id", "node"], "left_anti"), e.nodes_per_hop)
+        # A step carries the place of the node it comes from, not its path: only nodes that are expanded get one.
+        steps = front.select("query_id", "node", "score", "f").join(edges.select(F.col("source").alias("node"), F.col("target").alias("_n"), F.col("relation").alias("_r"), "weight", "place"), "node")
+        steps = steps.select("query_id", F.col("_n").alias("node"), (F.col("score") * F.lit(STEP) * _weight("weight")).alias("score"), "f", "place", "_r")
+        by = Window.partitionBy("query_id", "node").orderBy(F.desc("score"), "f", "place")
+        new = steps.withColumn("_first", F.row_number().over(by)).where("_first = 1").select("query_id", "node", F.col("score").alias("_s"), "f", "_r")
+        improved = F.col("_s").isNotNull() & (F.col("score").isNull() | (F.col("_s") > F.col("score")))
+        both = stage(best.join(new, ["query_id", "node"], "full_outer").withColumn("_up", improved), "best")
+        best = both.select("query_id", "node", F.when(F.col("_up"), F.col("_s")).otherwise(F.col("score")).alias("score"))
+        top = _frontier(both.where("_up").select("query_id", "node", F.col("_s").alias("score"), F.col("f").alias("_from"), "_r").join(visited, ["query_id", "node"], "left_anti"), e.nodes_per_hop)
+        before = front.select("query_id", F.col("f").alias("_from"), "path", "relations")
+        front = top.join(before, ["query_id", "_from"]).select("query_id", "node", "score", F.concat("path", F.array("node")).alias("path"), F.concat("relations", F.array("_r")).alias("relations"), "f")
+        front = stage(front, "frontier")
         visited = visited.unionByName(front.select("query_id", "node"))
         out = out.unionByName(front.withColumn("depth", F.lit(d + 1)))
     return out.drop("f")

@@ -31,12 +31,12 @@ def pool(hits: DataFrame, emitted: DataFrame, queries: DataFrame, corpus: DataFr
     the query excludes or doesn't allow never enters (queries: query_id, vector, excluded, allowed).
     """
     scored = stage(graph_scores(emitted, e.aggregation, e.paths_per_candidate), "graph_scores")
-    entering = top(scored, e.graph_candidates, "best", rank="_g").select("query_id", "candidate_id", F.lit(True).alias("by_graph"))
-    found = hits.select("query_id", "candidate_id", F.lit(True).alias("by_search")).join(entering, ["query_id", "candidate_id"], "full_outer")
-    found = allowed_pairs(found, queries)
-    known = hits.select("query_id", "candidate_id", F.col("score").alias("_h"))
+    entering = top(scored, e.graph_candidates, "best", rank="_g").select("query_id", "candidate_id", F.lit(True).alias("by_graph"), "graph_score")
+    found = hits.select("query_id", "candidate_id", F.lit(True).alias("by_search"), F.col("score").alias("_h")).join(entering, ["query_id", "candidate_id"], "full_outer")
+    found = stage(allowed_pairs(found, queries), "pool")
+    beyond = found.where("by_graph is null").drop("graph_score").join(scored.drop("best"), ["query_id", "candidate_id"], "left")
     rest = pair_scores(found.where("by_search is null"), queries, corpus).withColumnRenamed("score", "_l")
-    out = found.join(known, ["query_id", "candidate_id"], "left").join(rest, ["query_id", "candidate_id"], "left").join(scored.drop("best"), ["query_id", "candidate_id"], "left")
+    out = found.where("by_graph is not null").unionByName(beyond).join(rest, ["query_id", "candidate_id"], "left")
     cosine = F.coalesce("_h", "_l")
     return out.where(cosine.isNotNull()).select("query_id", "candidate_id", unit_interval(cosine).alias("semantic_score"), F.coalesce("graph_score", F.lit(0.0)).alias("graph_score"), F.coalesce("by_search", F.lit(False)).alias("by_search"), F.coalesce("by_graph", F.lit(False)).alias("by_graph"))
 
