@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACES
+from ..functions.text import SPACES, STOP_WORDS
 from ..functions.vectors import unit_interval
 from ..plans.retrieve import Retrieval, begin, over
 from ..plans.stage import stage
@@ -287,6 +287,18 @@ _EVIDENCE = f"""{_RANKED}, cp AS (SELECT p.* FROM paths p SEMI JOIN ranked USING
 _VECTORS = """WITH v AS (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
     s AS (SELECT q.id AS query_id, c.id AS candidate_id, round(list_dot_product(q.e, c.e), 6) AS score FROM u q, u c WHERE q.id::BIGINT % 50 = 0)"""
 _TOP20 = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS rank FROM {} QUALIFY rank <= 20"
+_LOCAL = f"""WITH o AS (SELECT * FROM hotpot_tiny WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at NULLS FIRST, question NULLS FIRST) = 1),
+    u AS (SELECT id AS query_id, context.title[i + 1] AS title, {strip_sql("array_to_string(context.sentences[i + 1], chr(10))")} AS text FROM (SELECT *, unnest(range(least(len(context.title), len(context.sentences)))) AS i FROM o)),
+    r AS (SELECT query_id, sha1({strip_sql('title')} || chr(10) || text) AS candidate_id, min(title) AS title, min(text) AS text FROM u GROUP BY ALL),
+    x AS (SELECT candidate_id AS id, min(title || chr(10) || text) AS text FROM r GROUP BY candidate_id), {vectors_sql('qv', 'SELECT id, question AS text FROM o')}, {vectors_sql('cv', 'SELECT id, text FROM x')},
+    dots AS (SELECT r.query_id, r.candidate_id, round(coalesce(sum(q.x * c.x), 0), 6) AS score FROM r LEFT JOIN qv q ON q.id = r.query_id LEFT JOIN cv c ON c.id = r.candidate_id AND c.b = q.b GROUP BY ALL),
+    sc AS (SELECT query_id, candidate_id, {_UNIT} AS s FROM dots),
+    sd AS (SELECT query_id, candidate_id AS seed, s AS g FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, candidate_id) <= 3),
+    tm AS (SELECT id, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9''-]{{3,}}'))) AS term FROM x),
+    tf AS (SELECT id, term, count(*) AS n FROM tm WHERE term NOT IN ({', '.join("'" + w + "'" for w in STOP_WORDS)}) GROUP BY ALL), tl AS (SELECT id, term FROM tf QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, term) <= 10),
+    nb AS (SELECT DISTINCT a.id AS a, b.id AS b FROM tl a JOIN tl b USING (term)),
+    g AS (SELECT sc.query_id, sc.candidate_id, max(CASE WHEN seed = candidate_id THEN g WHEN b IS NOT NULL THEN g * exp(-1::DOUBLE) END) AS g FROM sc JOIN sd USING (query_id) LEFT JOIN nb ON a = seed AND b = candidate_id GROUP BY ALL),
+    f AS (SELECT query_id, candidate_id, (s * 0.5::DOUBLE + coalesce(g, 0) * 0.5::DOUBLE) / 1::DOUBLE AS f FROM sc JOIN g USING (query_id, candidate_id))"""
 _PATH_COLUMNS = "query_id, candidate_id, path_rank, round(score, 9) AS score, array_to_string(path, '|') AS path, array_to_string(rels, '|') AS relations"
 
 QUERIES = {
@@ -340,6 +352,7 @@ SQL = {
     "numeric_features": f"""{_EVIDENCE} SELECT query_id, candidate_id, rank, round(semantic_score, 7) AS f_semantic, round(graph_score, 7) AS f_graph, round(fused, 7) AS f_score, round(ln(1 + node_count) / 5, 7) AS f_nodes,
         round(ln(1 + edge_count) / 5, 7) AS f_edges, round(ln(1 + path_count) / 3, 7) AS f_paths, round(best_path_hops / 10, 7) AS f_hops FROM ranked JOIN gf USING (query_id, candidate_id)""",
     "pointwise_rerank_zero_head": f"{_RANKED} SELECT query_id, candidate_id, round(fused, 7) AS neural_score, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, candidate_id) AS neural_rank FROM ranked QUALIFY neural_rank <= 10",
+    "instance_local_rank": f"{_LOCAL} SELECT query_id, candidate_id, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, candidate_id) AS rank, round(f, 7) AS score FROM f",
     "llm_passthrough_rerank": f"{_RANKED} SELECT query_id, candidate_id, (count(*) OVER (PARTITION BY query_id) - rank + 1)::DOUBLE AS llm_score, rank AS llm_rank FROM ranked QUALIFY llm_rank <= 10",
     "llm_partial_response_merge": f"""{_RANKED}, o AS (SELECT query_id, candidate_id, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY rank % 2, CASE WHEN rank % 2 = 0 THEN -rank ELSE rank END) AS llm_rank FROM ranked)
         SELECT query_id, candidate_id, (n - llm_rank + 1)::DOUBLE AS llm_score, llm_rank FROM o WHERE llm_rank <= 10""",

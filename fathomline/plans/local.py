@@ -26,7 +26,8 @@ def local_rank(spark: SparkSession, d: str, seeds: int = SEEDS, hops: int = HOPS
     rows = stage(instances(raw).groupBy("query_id", "candidate_id").agg(F.min("title").alias("title"), F.min("text").alias("text")), "instances")
     question = raw.groupBy("id").agg(F.min_by("question", F.struct("created_at", "question")).alias("question"))
     q = hashed(question, "id", "question").select(F.col("id").alias("query_id"), l2(F.col("vector")).alias("_q"))
-    texts = rows.select("candidate_id", F.concat_ws("\n", "title", "text").alias("text")).distinct()
+    # The same paragraph may be written differently in two questions: one text stands for it.
+    texts = rows.groupBy("candidate_id").agg(F.min(F.concat_ws("\n", "title", "text")).alias("text"))
     c = hashed(texts, "candidate_id", "text").select("candidate_id", l2(F.col("vector")).alias("_c"))
     scored = stage(rows.select("query_id", "candidate_id").join(c, "candidate_id").join(q, "query_id").select("query_id", "candidate_id", unit_interval(F.round(dot(F.col("_q"), F.col("_c")), DIGITS)).alias("semantic_score")), "scored")
     first = top(scored, seeds, "semantic_score").select("query_id", F.col("candidate_id").alias("source"), F.col("semantic_score").alias("s"))
