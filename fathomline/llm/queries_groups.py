@@ -75,10 +75,19 @@ _KEYS = r"""r AS (SELECT record_id, title, text FROM paragraphs UNION ALL
         FROM r WHERE regexp_replace(title, '\s', '', 'g') <> '' AND regexp_replace(text, '\s', '', 'g') <> ''),
     m AS (SELECT record_id, min(record_id) OVER w AS first_id, count(*) OVER w AS copies FROM k WINDOW w AS (PARTITION BY t, x))"""
 
+_SPLITS = r"""a AS (SELECT 'question' AS kind, id AS key, question AS text, split, source FROM hotpot_tiny UNION ALL SELECT 'paragraph', record_id, text, split, source FROM paragraphs),
+    c AS (SELECT *, row_number() OVER () AS rid, CASE WHEN split = 'train' THEN 't' ELSE 'e' END AS side, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM a WHERE key IS NOT NULL AND split IN ('train', 'validation', 'test')),
+    m AS (SELECT *, array_to_string(w, ' ') AS canon, len(w) AS n FROM c WHERE len(w) > 0),
+    t AS (SELECT rid, kind, side, n, word, row_number() OVER (PARTITION BY rid, word) AS nth FROM (SELECT rid, kind, side, n, unnest(w) AS word FROM m)),
+    o AS (SELECT e.rid AS re, t.rid AS rt, count(*) AS common FROM t e JOIN t USING (kind, word, nth) WHERE e.side = 'e' AND t.side = 't' GROUP BY e.rid, t.rid, e.n, t.n HAVING count(*) * 5 >= 4 * greatest(e.n, t.n))"""
+
 QUERIES = {"p2_found": p2_found, "p2_top": p2_top, "p3_found": p3_found, "p3_exact": p3_exact, "p3_report": p3_report, "p6_found": p6_found, "p6_ranking": p6_ranking, "p7_found": p7_found, "p7_records": p7_records}
 SQL = {
     "p2_found": f"SELECT query_id, candidate_id FROM ({_TOP})",
     "p2_top": _TOP,
+    "p3_found": f"""WITH {_SPLITS} SELECT DISTINCT least(x.key, y.key) AS key_a, greatest(x.key, y.key) AS key_b FROM o JOIN m x ON x.rid = re JOIN m y ON y.rid = rt WHERE x.key <> y.key""",
+    "p3_report": f"""WITH {_SPLITS}, h AS (SELECT re, bool_or(x.canon = y.canon) AS exact, bool_or(x.canon <> y.canon) AS near FROM o JOIN m x ON x.rid = re JOIN m y ON y.rid = rt GROUP BY re)
+        SELECT kind, split, source, count(*) AS records, count(*) FILTER (exact) AS exact, count(*) FILTER (near) AS near FROM m LEFT JOIN h ON re = rid WHERE side = 'e' GROUP BY kind, split, source""",
     "p3_exact": rf"""WITH a AS (SELECT 'question' AS kind, id AS key, question AS text, split FROM hotpot_tiny UNION ALL SELECT 'paragraph', record_id, text, split FROM paragraphs),
         c AS (SELECT kind, key, split, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS c FROM a),
         p AS (SELECT e.key AS e, t.key AS t FROM c e JOIN c t USING (kind, c) WHERE c <> '' AND e.split IN ('validation', 'test') AND t.split = 'train' AND e.key <> t.key)

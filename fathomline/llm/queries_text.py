@@ -48,8 +48,16 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 _COUNTED = r"""WITH n AS (SELECT doc_id, length(text) - length(regexp_replace(text, '[\x{4e00}-\x{9fff}]', '', 'g'))
     + len(regexp_extract_all(regexp_replace(text, '[\x{4e00}-\x{9fff}]', ' ', 'g'), '[\p{L}\p{N}]{1,8}|[^\t\n\x0B\f\r \p{L}\p{N}]')) AS n FROM documents)"""
 
+_WORDS = r"regexp_extract_all(strip_accents(lower(regexp_replace(regexp_replace(text, '<[^<>]{0,40}>', ' ', 'g'), '&[a-z]{2,6};', ' ', 'g'))), '[\p{L}\p{N}]+')"
+_LEAKS = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
+    dw AS (SELECT DISTINCT doc_id, array_to_string(w[p + 1:p + 8], ' ') AS g FROM (SELECT *, unnest(range(len(w) - 7)) AS p FROM d)),
+    iw AS (SELECT item_id, p, len(w) AS n, array_to_string(w[p + 1:p + 8], ' ') AS g FROM (SELECT *, unnest(range(len(w) - 7)) AS p FROM i)),
+    c AS (SELECT doc_id, item_id, n, count(DISTINCT x) AS words FROM (SELECT doc_id, item_id, n, unnest(range(p, p + 8)) AS x FROM dw JOIN iw USING (g)) GROUP BY doc_id, item_id, n)"""
+
 QUERIES = {"p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_pieces": p10_pieces}
 SQL = {
     "p8_found": f"{_COUNTED} SELECT DISTINCT doc_id FROM n WHERE n > {CAPACITY}",
+    "p9_found": f"{_LEAKS} SELECT doc_id, item_id FROM c WHERE words * 5 >= n * 2",
+    "p9_leaks": f"{_LEAKS} SELECT doc_id, item_id, words FROM c WHERE words * 5 >= n * 2",
     "p10_found": f"{_COUNTED} SELECT DISTINCT doc_id FROM n WHERE n > {SIZE}",
 }

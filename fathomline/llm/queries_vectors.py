@@ -10,11 +10,15 @@ from .neighbours import build, nearest, search
 
 
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest(spark, d).withColumn("cosine", F.round("cosine", 9))
+
+
+def _nearest(spark: SparkSession, d: str) -> DataFrame:
     return nearest(build(table(spark, d, "candidates"), "candidate_id", "embedding"), 5, 0.8)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = p5_neighbours(spark, d)
+    pairs = _nearest(spark, d)
     return pairs.select(F.least("item", "other").alias("paragraph_id_a"), F.greatest("item", "other").alias("paragraph_id_b")).distinct()
 
 
@@ -29,5 +33,14 @@ def p5_search(spark: SparkSession, d: str) -> DataFrame:
     return search(build(rows, "candidate_id", "embedding"), rows.where(rest == 0), "candidate_id", "embedding", 10)
 
 
+_NEAR = """WITH v AS (SELECT candidate_id AS id, min(embedding)::DOUBLE[] AS e FROM candidates WHERE candidate_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY candidate_id),
+    u AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+    s AS (SELECT a.id AS item, b.id AS other, list_dot_product(a.e, b.e) AS cosine FROM u a JOIN u b ON a.id <> b.id WHERE list_dot_product(a.e, b.e) >= 0.8),
+    k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item ORDER BY cosine DESC, other) <= 5)"""
+
 QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours, "p5_search": p5_search}
-SQL: dict[str, str] = {}
+#: The SQL is exact, the operator approximate: they are equal where no neighbour is lost.
+SQL = {
+    "p5_found": f"{_NEAR} SELECT DISTINCT least(item, other) AS paragraph_id_a, greatest(item, other) AS paragraph_id_b FROM k",
+    "p5_neighbours": f"{_NEAR} SELECT item, other, round(cosine, 9) AS cosine FROM k",
+}
