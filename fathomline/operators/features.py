@@ -46,6 +46,19 @@ def padded(rows: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, mask
 
 
+def epoch_order(df: DataFrame, seed: int, epoch: int) -> DataFrame:
+    """Place of each query in an epoch: the same permutation for every worker, another one each epoch."""
+    from ..plans.skew import ranked
+
+    rows = df.select("query_id").distinct().withColumn("_g", F.lit(epoch)).withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.lit(epoch).cast("string"), "query_id")))
+    return ranked(rows, ["_g"], [F.col("_h"), F.col("query_id")], "place").select("query_id", "place")
+
+
+def write_dataset(rows: DataFrame, path: str, side: str, per_file: int = 512) -> None:
+    """Features by split, a bounded number of rows a file."""
+    rows.repartition(side, "query_id").sortWithinPartitions("query_id", "rank").write.mode("overwrite").partitionBy(side).option("maxRecordsPerFile", per_file).parquet(path)
+
+
 # ---- Rankers ----------------------------------------------------------------------------------------------------------
 
 
@@ -136,9 +149,11 @@ def _gradient(w: np.ndarray):
     return run
 
 
-def fit_listwise(rows: DataFrame, epochs: int = 50, rate: float = 0.5, decay: float = 0.01) -> np.ndarray:
+def fit_listwise(rows: DataFrame, epochs: int = 50, rate: float = 0.5, decay: float = 0.01, judge: Callable[[np.ndarray], float] | None = None) -> np.ndarray:
     """Weights of a linear listwise ranker by full-batch gradient descent.
 
+    With ``judge`` (say NDCG@10 of the validation queries) the weights of the best epoch are returned, else the last.
+
     rows: query_id, features, label; queries without a positive don't count.  Each epoch is one aggregation of the
     gradient over the cluster; only a vector of the features' length reaches the driver.
     """
@@ -148,6 +163,7 @@ def fit_listwise(rows: DataFrame, epochs: int = 50, rate: float = 0.5, decay: fl
         if one is None:
             raise ValueError("no query has a positive")
         w = np.zeros(one[0])
+        best = None
         for _ in range(epochs):
             each = valid.groupBy("query_id").applyInPandas(_gradient(w), "g array<double>, n long")
             total = each.select("n", F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
@@ -155,6 +171,9 @@ def fit_listwise(rows: DataFrame, epochs: int = 50, rate: float = 0.5, decay: fl
             for r in total:
                 g[r["i"]] = r["v"] / r["n"]
             w = w - rate * (g + decay * w)
-        return w
+            now = None if judge is None else judge(w)
+            if now is not None and (best is None or now > best[0]):
+                best = now, w
+        return w if best is None else best[1]
     finally:
         valid.unpersist()

@@ -176,6 +176,20 @@ def pointwise_loss(spark: SparkSession, d: str) -> DataFrame:
     return metrics.pointwise_loss(labelled(ranking(spark, d), judgements(spark, d)), "score", "label", 2.0).select(F.round("loss", 9).alias("loss"), "rows")
 
 
+def extracted_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records by rule of all paragraphs: number of entities and relations, and the first entity's type."""
+    from .extract import by_rule, records
+
+    rows = records(by_rule(corpus(spark, d), "candidate_id", "title", "text"))
+    return rows.select("id", F.size("relationships").alias("n_relations"), F.col("entities")[0]["entity_type"].alias("first_type"), F.array_join(F.transform("entities", lambda e: e["entity_name"]), "|").alias("names"))
+
+
+def epoch_places(spark: SparkSession, d: str) -> DataFrame:
+    from .features import epoch_order
+
+    return epoch_order(queries(spark, d), 13, 1)
+
+
 # ---- Audits -------------------------------------------------------------------------------------------------------
 
 
@@ -264,6 +278,8 @@ QUERIES = {
     "stage_metrics": stage_metrics,
     "listwise_loss": listwise_loss,
     "pointwise_loss": pointwise_loss,
+    "extracted_records": extracted_records,
+    "epoch_places": epoch_places,
     "protocol_audit": protocol_audit,
     "protocol_positive_coverage": protocol_positive_coverage,
     "split_alignment_check": split_alignment_check,
@@ -313,6 +329,12 @@ SQL = {
     "listwise_loss": f"""{_LABELS}, m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM lab)
         SELECT query_id, round(any_value(m) + ln(sum(exp(score - m))) - sum(score * label) / sum(label), 9) AS loss FROM m GROUP BY query_id HAVING sum(label) > 0""",
     "pointwise_loss": f"{_LABELS} SELECT round(avg(2.0::DOUBLE * label * ({_SOFT.format('(-score)')}) + (1 - label) * ({_SOFT.format('score')})), 9) AS loss, count(*) AS rows FROM lab",
+    "extracted_records": f"""WITH {CORPUS}, f AS (SELECT candidate_id AS id, title, list_distinct(regexp_extract_all(text, '\\p{{Lu}}[\\p{{L}}\\p{{N}}''-]+(?: \\p{{Lu}}[\\p{{L}}\\p{{N}}''-]+)+')) AS n FROM corpus),
+        w AS (SELECT id, title, regexp_extract_all(text, '\\p{{Lu}}[\\p{{L}}\\p{{N}}''-]+(?: \\p{{Lu}}[\\p{{L}}\\p{{N}}''-]+)+') AS n FROM (SELECT candidate_id AS id, title, text FROM corpus)),
+        e AS (SELECT id, 0 AS i, title AS name FROM w UNION ALL SELECT id, i + 1, n[i + 1] FROM (SELECT *, unnest(range(len(n))) AS i FROM w)),
+        k AS (SELECT * FROM e WHERE {norm_sql('name')} <> '' QUALIFY row_number() OVER (PARTITION BY id, {norm_sql('name')} ORDER BY i) = 1)
+        SELECT id, greatest(0, len(n) - 1) AS n_relations, 'document' AS first_type, names FROM f JOIN (SELECT id, string_agg(name, '|' ORDER BY i) AS names FROM k GROUP BY id) USING (id)""",
+    "epoch_places": "SELECT query_id, row_number() OVER (ORDER BY md5('13:1:' || query_id), query_id) AS place FROM (SELECT DISTINCT query_id FROM queries)",
     "protocol_audit": f"""WITH {_QRELS} SELECT (SELECT count(*) FROM hotpot_tiny) AS queries, (SELECT count(DISTINCT id) FROM hotpot_tiny) AS distinct_queries, (SELECT count(*) FROM hotpot_tiny WHERE split = 'train') AS train_queries,
         (SELECT count(*) FROM qrels) AS positives, (SELECT count(*) FROM qrels WHERE candidate_id IN (SELECT candidate_id FROM candidates)) AS positives_in_corpus,
         (SELECT count(DISTINCT id) FROM hotpot_tiny WHERE id NOT IN (SELECT query_id FROM qrels)) AS queries_without_positive, (SELECT count(*) - count(DISTINCT id) FROM hotpot_tiny) AS duplicate_queries""",

@@ -262,3 +262,56 @@ def test_rerank_and_cache(spark):
         rerank.prompt("v2")
     with pytest.raises(ValueError):
         pool.weighted(F.lit(1), F.lit(1), -1, 2)
+
+
+# ---- Extraction, protocol, epochs -----------------------------------------------------------------------------------
+
+
+def test_extraction_records(spark):
+    from fathomline.operators.extract import by_model, by_rule, records
+
+    df = frame(spark, [("p1", "Alice Smith", "Alice Smith met Bob Jones in New York. Bob Jones left."), ("p2", "none", None)], "id string, title string, text string")
+    got = {r["id"]: r for r in records(by_rule(df, "id", "title", "text")).collect()}
+    assert [(e["entity_name"], e["entity_type"]) for e in got["p1"]["entities"]] == [("Alice Smith", "document"), ("Bob Jones", "name"), ("New York", "name")]
+    assert [(r["src_id"], r["tgt_id"]) for r in got["p1"]["relationships"]] == [("Alice Smith", "Bob Jones"), ("Bob Jones", "New York")]
+    assert "Bob Jones" in got["p1"]["entities"][1]["description"] and len(got["p2"]["entities"]) == 1
+    model = lambda texts: [([("bob", "person")], [("bob", "knows", "Zoe")]) for _ in texts]
+    got = {r["id"]: r for r in records(by_model(df, "id", "title", "text", model)).collect()}
+    assert [(e["entity_name"], e["entity_type"]) for e in got["p2"]["entities"]] == [("none", "document"), ("bob", "person"), ("Zoe", "unknown")]
+
+
+def test_protocol(spark, tmp_path):
+    from fathomline.sources import protocol
+
+    part = lambda *ids: frame(spark, [(q, i) for i, q in enumerate(ids)], "query_id string, seq int")
+    parts = {"train": part("a", "b", "c"), "validation": part("d", "t"), "test": part("t")}
+    forbidden = protocol.forbidden_ids(parts["test"], None, part("b", ""))
+    assert [r["query_id"] for r in protocol.select("development", "all", parts, forbidden, 3).orderBy("split_at", "seq").collect()] == ["a", "c", "d"]
+    assert [r["query_id"] for r in protocol.select("test", "all", parts, forbidden).collect()] == ["t"]
+    for bad in (("x", "all"), ("test", "x"), ("test", "train")):
+        with pytest.raises(ValueError):
+            protocol.select(*bad, parts)
+    protocol.require_positives(part("a"), part("a"))
+    protocol.same_queries(part("a", "b"), part("b", "a"))
+    for f, args in ((protocol.require_positives, (part("a", "b"), part("a"))), (protocol.same_queries, (part("a"), part("b"))), (protocol.same_queries, (part("a", "a"), part("a"))), (protocol.enrichment_gate, (["/nowhere"], True))):
+        with pytest.raises(ValueError):
+            f(*args)
+    assert protocol.enrichment_gate(["/nowhere"], False) == []
+
+
+def test_epochs_and_dataset(spark, tmp_path):
+    q = frame(spark, [(f"q{i}",) for i in range(40)], "query_id string")
+    one, two = ({r["query_id"]: r["place"] for r in features.epoch_order(q.repartition(n), 13, e).collect()} for n, e in ((2, 1), (5, 2)))
+    assert sorted(one.values()) == sorted(two.values()) == list(range(1, 41)) and one != two
+    assert one == {r["query_id"]: r["place"] for r in features.epoch_order(q.repartition(7), 13, 1).collect()}
+    rows = q.withColumn("side", F.when(F.col("query_id") < "q2", "train").otherwise("validation")).withColumn("rank", F.lit(1))
+    features.write_dataset(rows, str(tmp_path / "d"), "side", 5)
+    back = spark.read.parquet(str(tmp_path / "d"))
+    assert back.count() == 40 and back.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 5
+
+
+def test_best_epoch_is_kept(spark):
+    rows = [("q", [1.0], 1.0), ("q", [0.0], 0.0)]
+    seen = []
+    w = features.fit_listwise(frame(spark, rows, "query_id string, features array<double>, label double"), epochs=3, judge=lambda v: seen.append(v) or -len(seen))
+    assert len(seen) == 3 and (w == seen[0]).all()
