@@ -12,7 +12,7 @@ SPACES = r"[\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\
 TOKEN = r"[\p{L}\p{N}_'-]+"
 TERM = r"[A-Za-z][A-Za-z0-9'-]{3,}"
 BIGRAM = "::"
-STOP_WORDS = "about after also been being between from have into more most other over some such than that their there these they this through under were which while with would".split()
+STOP_WORDS = "about after again also been before being between could first from have into more other over such than that their there these they this those through under were which while with would".split()
 TRIPLET = r"(?s)<triplet>\s*(.*?)\s*<subj>\s*(.*?)\s*<obj>\s*(.*?)(?=\s*<triplet>|$)"
 
 
