@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,9 @@ from .semantic import search, search_declared, top
 
 R = Retrieval()
 E = R.expansion
+#: The reference's defaults; the queries named *_reference take these, those beside their SQL take its smaller values.
+REFERENCE = Retrieval(semantic_k=500, seeds=SeedRules.of(semantic_k=20), expansion=expand.Expansion(), top_k=100)
+REFERENCE_LOCAL_SEEDS = 8
 
 
 # ---- Search -------------------------------------------------------------------------------------------------------
@@ -54,10 +59,10 @@ def semantic_topk_allowed(spark: SparkSession, d: str) -> DataFrame:
 # ---- Seeds and expansion ------------------------------------------------------------------------------------------
 
 
-def _seeds(rules: SeedRules):
+def _seeds(rules: SeedRules, r: Retrieval = R):
     def query(spark: SparkSession, d: str) -> DataFrame:
         i = inputs(spark, d)
-        hits = search(i.vectors, i.corpus_vectors, R.semantic_k)
+        hits = search(i.vectors, i.corpus_vectors, r.semantic_k)
         named = named_seeds(spark, d).withColumn("weight", 1.5 / (F.col("pos") + 1))
         lookup = pool.pair_scores(named, i.vectors, i.corpus_vectors)
         nodes = named.join(i.graph.links.drop("weight"), "candidate_id").select("query_id", "node_id", "pos", "weight")
@@ -66,71 +71,71 @@ def _seeds(rules: SeedRules):
     return query
 
 
-def graph_links_capped(spark: SparkSession, d: str) -> DataFrame:
-    return capped_links(graph(spark, d).links, E.candidates_per_node)
+def graph_links_capped(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
+    return capped_links(graph(spark, d).links, r.expansion.candidates_per_node)
 
 
-def graph_neighbors_capped(spark: SparkSession, d: str) -> DataFrame:
-    return capped_edges(graph(spark, d).edges, E.neighbours)
+def graph_neighbors_capped(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
+    return capped_edges(graph(spark, d).edges, r.expansion.neighbours)
 
 
-def _expanded(hops: int):
+def _expanded(hops: int, r: Retrieval = R):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        options = Retrieval(expansion=expand.Expansion(**(E.__dict__ | {"hops": hops})))
+        options = replace(r, expansion=replace(r.expansion, hops=hops))
         f = begin(inputs(spark, d), named_seeds(spark, d), options)
-        paths = expand.best_paths(expand.emissions(f.seeds, f.inputs.graph, options.expansion), E.paths_per_candidate)
+        paths = expand.best_paths(expand.emissions(f.seeds, f.inputs.graph, options.expansion), r.expansion.paths_per_candidate)
         return paths.select("query_id", "candidate_id", "path_rank", F.round("score", 9).alias("score"), F.array_join("path", "|").alias("path"), F.array_join("relations", "|").alias("relations"))
 
     return query
 
 
-def graph_expand_exact(spark: SparkSession, d: str) -> DataFrame:
-    f = over(spark, d, Retrieval(in_order=True))
+def graph_expand_exact(spark: SparkSession, d: str, r: Retrieval = REFERENCE) -> DataFrame:
+    f = over(spark, d, replace(r, in_order=True))
     return f.paths().select("query_id", "candidate_id", "path_rank", F.round("score", 9).alias("score"), F.array_join("path", "|").alias("path"))
 
 
-def _aggregated(how: str):
+def _aggregated(how: str, r: Retrieval = R):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return expand.graph_scores(over(spark, d).emitted, how, E.paths_per_candidate).select("query_id", "candidate_id", F.round("graph_score", 9).alias("graph_score"))
+        return expand.graph_scores(over(spark, d, r).emitted, how, r.expansion.paths_per_candidate).select("query_id", "candidate_id", F.round("graph_score", 9).alias("graph_score"))
 
     return query
 
 
-def hybrid_pool(spark: SparkSession, d: str) -> DataFrame:
-    return over(spark, d).pool.select("query_id", "candidate_id", F.round("semantic_score", 7).alias("semantic_score"), F.round("graph_score", 9).alias("graph_score"), "by_search", "by_graph")
+def hybrid_pool(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
+    return over(spark, d, r).pool.select("query_id", "candidate_id", F.round("semantic_score", 7).alias("semantic_score"), F.round("graph_score", 9).alias("graph_score"), "by_search", "by_graph")
 
 
-def pool_counts(spark: SparkSession, d: str) -> DataFrame:
-    return pool.pool_counts(over(spark, d).pool)
+def pool_counts(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
+    return pool.pool_counts(over(spark, d, r).pool)
 
 
-def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
-    return over(spark, d).ranked.select("query_id", "rank", "candidate_id", F.round("score", 7).alias("score"))
+def hybrid_rank(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
+    return over(spark, d, r).ranked.select("query_id", "rank", "candidate_id", F.round("score", 7).alias("score"))
 
 
-def _chosen(spark: SparkSession, d: str):
+def _chosen(spark: SparkSession, d: str, r: Retrieval = R):
     """The plan and its ranked candidates, written: evidence is looked up for these alone."""
-    f = over(spark, d)
+    f = over(spark, d, r)
     return f, stage(f.ranked, "ranked")
 
 
-def evidence_nodes(spark: SparkSession, d: str) -> DataFrame:
-    f, chosen = _chosen(spark, d)
+def evidence_nodes(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
+    f, chosen = _chosen(spark, d, r)
     return pool.evidence_nodes(chosen, f.paths(chosen))
 
 
-def evidence_edges(spark: SparkSession, d: str) -> DataFrame:
-    f, chosen = _chosen(spark, d)
+def evidence_edges(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
+    f, chosen = _chosen(spark, d, r)
     return pool.evidence_edges(chosen, f.paths(chosen))
 
 
-def graph_features(spark: SparkSession, d: str) -> DataFrame:
-    f, chosen = _chosen(spark, d)
+def graph_features(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
+    f, chosen = _chosen(spark, d, r)
     return pool.graph_features(chosen, stage(f.paths(chosen), "paths"))
 
 
-def numeric_features(spark: SparkSession, d: str) -> DataFrame:
-    f, chosen = _chosen(spark, d)
+def numeric_features(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
+    f, chosen = _chosen(spark, d, r)
     n = features.numeric(chosen, pool.graph_features(chosen, stage(f.paths(chosen), "paths")))
     return n.select("query_id", "candidate_id", "rank", *(F.round(c, 7).alias(c) for c in features.NUMERIC))
 
@@ -140,18 +145,18 @@ def _full(f, chosen: DataFrame) -> DataFrame:
     return features.full(n, f.inputs.vectors, f.inputs.corpus_vectors)
 
 
-def pointwise_rerank_zero_head(spark: SparkSession, d: str) -> DataFrame:
-    out = features.score_points(_full(*_chosen(spark, d)), features.PointwiseMLP(4 * DIM + 7), 10)
+def pointwise_rerank_zero_head(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
+    out = features.score_points(_full(*_chosen(spark, d, r)), features.PointwiseMLP(4 * DIM + 7), 10)
     return out.select("query_id", "candidate_id", F.round("neural_score", 7).alias("neural_score"), "neural_rank")
 
 
-def set_transformer_rerank(spark: SparkSession, d: str) -> DataFrame:
-    model = features.SetTransformer(4 * DIM + 7, hidden=64, heads=4, layers=2, feedforward=128)
-    return features.score_sets(_full(*_chosen(spark, d)), model, 10, R.top_k)
+def set_transformer_rerank(spark: SparkSession, d: str, r: Retrieval = REFERENCE) -> DataFrame:
+    model = features.SetTransformer(4 * DIM + 7)
+    return features.score_sets(_full(*_chosen(spark, d, r)), model, 10, r.top_k)
 
 
-def llm_passthrough_rerank(spark: SparkSession, d: str) -> DataFrame:
-    f = over(spark, d)
+def llm_passthrough_rerank(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
+    f = over(spark, d, r)
     return rerank.rerank(f.ranked, f.inputs.queries, f.inputs.corpus, rerank.passthrough, "passthrough", 10)[0]
 
 
@@ -161,16 +166,16 @@ def _partial(request: dict) -> list[dict]:
     return [{"candidate_id": "unknown", "score": "1"}, *({"candidate_id": i, "score": "high"} for i in ids), *({"candidate_id": i, "score": "0"} for i in ids)]
 
 
-def llm_partial_response_merge(spark: SparkSession, d: str) -> DataFrame:
-    f = over(spark, d)
+def llm_partial_response_merge(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
+    f = over(spark, d, r)
     return rerank.rerank(f.ranked, f.inputs.queries, f.inputs.corpus, _partial, "partial", 10)[0]
 
 
-def instance_local_rank(spark: SparkSession, d: str) -> DataFrame:
+def instance_local_rank(spark: SparkSession, d: str, seeds: int | None = None) -> DataFrame:
     """Candidates of each question among themselves: cosine, and the best seed by shared frequent terms."""
-    from ..plans.local import local_rank
+    from ..plans.local import SEEDS, local_rank
 
-    return local_rank(spark, d).select("query_id", "candidate_id", "rank", F.round("score", 7).alias("score"))
+    return local_rank(spark, d, seeds or SEEDS).select("query_id", "candidate_id", "rank", F.round("score", 7).alias("score"))
 
 
 # ---- SQL ----------------------------------------------------------------------------------------------------------
@@ -331,6 +336,16 @@ QUERIES = {
     "llm_partial_response_merge": llm_partial_response_merge,
     "instance_local_rank": instance_local_rank,
 }
+_SIZED = [hybrid_rank, hybrid_pool, pool_counts, evidence_nodes, evidence_edges, graph_features, numeric_features, pointwise_rerank_zero_head, llm_passthrough_rerank, llm_partial_response_merge, graph_links_capped, graph_neighbors_capped]
+QUERIES |= {f"{q.__name__}_reference": partial(q, r=REFERENCE) for q in _SIZED}
+QUERIES |= {f"graph_expand_hop{h}_reference": _expanded(h, REFERENCE) for h in range(3)}
+QUERIES |= {f"graph_score_{a}_reference": _aggregated(a, REFERENCE) for a in _AGG}
+QUERIES |= {
+    "seeds_first_reference": _seeds(SeedRules.of(semantic_k=REFERENCE.seeds.semantic_k), REFERENCE),
+    "seeds_max_reference": _seeds(SeedRules.of("weighted_query", semantic_k=REFERENCE.seeds.semantic_k, merge="max"), REFERENCE),
+    "seeds_nodes_reference": _seeds(SeedRules.of("graph_nodes", semantic_k=REFERENCE.seeds.semantic_k), REFERENCE),
+    "instance_local_rank_reference": partial(instance_local_rank, seeds=REFERENCE_LOCAL_SEEDS),
+}
 SQL = {
     "hybrid_rank": f"{_RANKED} SELECT query_id, rank, candidate_id, round(fused, 7) AS score FROM ranked",
     "semantic_topk": f"{_VECTORS} {_TOP20.format('s')}",
