@@ -14,7 +14,7 @@ from ..plans.skew import join_by_key
 from ..plans.stage import drop_stage, stage, width
 
 #: Neighbours kept while the graph is built, trees, bits of a tree's signature, rows compared in a sorted run.
-K, TREES, BITS, WINDOW = 10, 14, 48, 48
+K, TREES, BITS, WINDOW = 40, 14, 48, 48
 #: Rounds of neighbours-of-neighbours at most, and the share of changed edges below which they end.
 ROUNDS, SETTLED = 5, 0.001
 SEED = 7
@@ -37,7 +37,7 @@ def clean(df: DataFrame, item: str, vector: str) -> DataFrame:
 
 @dataclass
 class Index:
-    """classes (cid, n, vector: one row for each different vector), members (item, cid) and graph (src, dst, sim)."""
+    """classes (cid, n, vector: one row for each different direction), members (item, cid) and graph (src, dst, sim)."""
 
     classes: DataFrame
     members: DataFrame
@@ -45,8 +45,13 @@ class Index:
 
 
 def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Equal vectors are one node of the graph; a vector that a third of the items share is one row."""
-    keyed = stage(rows.withColumn("k", F.concat_ws(" ", F.xxhash64("vector").cast("string"), F.hash("vector").cast("string"))), "vectors")
+    """Vectors of one direction are one node of the graph; a direction that a third of the items share is one row.
+
+    Directions are told apart by a millionth of each element, so cosines in a class are 1 to nine digits.
+    """
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    unit = rows.withColumn("l", length).withColumn("u", F.transform("vector", lambda x: F.round(x.cast("double") / F.col("l") * 1e6).cast("long")))
+    keyed = stage(unit.select("item", "vector", F.concat_ws(" ", F.xxhash64("u").cast("string"), F.hash("u").cast("string")).alias("k")), "vectors")
     one = keyed.groupBy("k").agg(F.first("vector").alias("vector"), F.count("*").alias("n"))
     classes = stage(one.withColumn("cid", F.monotonically_increasing_id()), "classes")
     members = join_by_key(keyed.select("k", "item"), classes.select("k", "n", "cid"), "k", "n", keyed.count())
@@ -205,7 +210,7 @@ def _half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build(df: DataFrame, item: str, vector: str, k: int = K, rounds: int = ROUNDS) -> Index:
-    """A graph of the k nearest neighbours of every different vector, by cosine (approximate; see ``clean``)."""
+    """A graph of the k nearest neighbours of every different direction, by cosine (approximate; see ``clean``)."""
     classes, members = _classes(clean(df, item, vector))
     first = _forest_edges(classes, k).groupBy("src", "dst").agg(F.max("sim").alias("sim")).withColumn("new", F.lit(True))
     graph = stage(_top(first, k), "graph")
@@ -237,7 +242,7 @@ def exact_edges(index: Index, edges: DataFrame, least: float) -> DataFrame:
 def nearest(index: Index, k: int, least: float) -> DataFrame:
     """(item, other, cosine): the k others of highest cosine of every item (ties: smaller id), none below ``least``.
 
-    Items of equal vectors are neighbours with cosine 1.  A class hands over at most k + 1 of its ids, whatever its
+    Items of one direction are neighbours with cosine 1.  A class hands over at most k + 1 of its ids, whatever its
     size; its list of neighbours reaches its members without moving those of a large class.
     """
     by = Window.partitionBy("cid").orderBy("item")

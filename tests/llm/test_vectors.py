@@ -48,3 +48,23 @@ def test_empty(spark):
     df = spark.createDataFrame([], "candidate_id string, embedding array<float>")
     index = build(df, "candidate_id", "embedding")
     assert nearest(index, 5, 0.8).count() == 0 and search(index, df, "candidate_id", "embedding", 5).count() == 0
+
+
+def test_hot_group_of_near_copies(spark):
+    """Many vectors around one direction, none equal; and more rescaled copies of a vector than a node has edges."""
+    r = np.random.default_rng(5)
+    one = r.standard_normal(64)
+    near = (one / np.linalg.norm(one) + 0.03 * r.standard_normal((4000, 64))).astype(np.float32)
+    scaled = (r.standard_normal(64).astype(np.float32) * (2.0 ** np.arange(-30, 30))[:, None]).astype(np.float32)
+    rows = [(f"c{i:04d}", v.tolist()) for i, v in enumerate(near)] + [(f"s{i:02d}", v.tolist()) for i, v in enumerate(scaled)]
+    got = {}
+    for x in nearest(build(spark.createDataFrame(rows, "item string, vector array<float>"), "item", "vector"), 5, 0.8).collect():
+        got.setdefault(x["item"], set()).add(x["other"])
+    u = near.astype(float) / np.linalg.norm(near.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    best = np.argpartition(-s, 5, axis=1)[:, :5]
+    hit = sum(len({f"c{j:04d}" for j in best[i]} & got[f"c{i:04d}"]) for i in range(len(near)))
+    assert hit >= 0.97 * best.size
+    for i in range(60):
+        assert got[f"s{i:02d}"] == {f"s{j:02d}" for j in [j for j in range(6) if j != i][:5]}
