@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -161,9 +161,8 @@ def _macro(retrieved_only: bool):
 
 def stage_metrics(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "generated_candidates").where("graph_score is not null and not isnan(graph_score)").groupBy("query_id", "candidate_id").agg(F.max("graph_score").alias("score"))
-    from .semantic import top
-
-    out = metrics.stages(queries(spark, d), {"semantic": ranking(spark, d), "graph": top(g, 100)}, judgements(spark, d), {"semantic": [5, 10], "*": [5]})
+    graded = g.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate_id")))
+    out = metrics.stages(queries(spark, d), {"semantic": ranking(spark, d), "graph": graded}, judgements(spark, d), {"semantic": [5, 10], "*": [5]})
     return out.select("stage", "queries", "metric", F.round("value", 9).alias("value"))
 
 

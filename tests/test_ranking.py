@@ -341,3 +341,22 @@ def test_reference_sizes(spark, monkeypatch, name):
     assert sql != q.SQL[name]
     assert "DIFFERENT" not in same(spark, data, name, q.QUERIES[f"{name}_reference"], sql)
     assert q.QUERIES[f"{name}_reference"](spark, data).count() > q.QUERIES[name](spark, data).count()
+
+
+def test_graph_stage_is_ranked_whole(spark, tmp_path):
+    """A first positive below rank 100 of the graph stage counts."""
+    from pathlib import Path
+
+    from fathomline.operators.queries_corpus import stage_metrics
+    from fathomline.sources.derived import judgements, queries
+
+    data = Path("/root/testdata/sf0.001")
+    for f in data.iterdir():
+        if f.name != "generated_candidates.parquet":
+            (tmp_path / f.name).symlink_to(f)
+    one = judgements(spark, str(data)).join(queries(spark, str(data)).select("query_id"), "query_id", "left_semi").orderBy("query_id", "candidate_id").first()
+    rows = [(one["query_id"], f"x{i:03d}", 0.5, 1.0 - i / 1000) for i in range(150)] + [(one["query_id"], one["candidate_id"], 0.1, 0.01)]
+    frame(spark, rows, "query_id string, candidate_id string, semantic_score double, graph_score double").write.parquet(str(tmp_path / "generated_candidates.parquet"))
+    n = queries(spark, str(data)).select("query_id").distinct().count()
+    got = {(r["stage"], r["metric"]): r["value"] for r in stage_metrics(spark, str(tmp_path)).collect()}
+    assert got["graph", "mrr"] == round(1 / 151 / n, 9) > 0
