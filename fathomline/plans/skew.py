@@ -98,15 +98,21 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], out: str) -> D
     )
 
 
+#: One of so many rows is looked at to tell hot keys.
+LOOK = 8
+
+
 def join_salted(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
     """Inner join in which no key's rows meet in one task: the rows of a hot key of ``right`` are spread by ``spread``.
 
     Hot is a key that holds more than a 256th of the rows of ``right`` (at most 255 of them, broadcast); its rows of
-    ``left`` go to each of the parts.  Null keys match nothing.  Both sides should be stages: they are read twice.
+    ``left`` go to each of the parts.  Hot keys are told from the rows whose ``spread`` hashes to a multiple of LOOK:
+    that decides the layout only, every row is joined.  Null keys match nothing.  ``right`` is read twice: a stage.
     """
     parts = width(left.sparkSession)
-    total = right.count()
-    hot = F.broadcast(right.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * HOT_PARTS > F.lit(total)).select(key, F.lit(True).alias("_hot")))
+    some = right.where(F.pmod(F.xxhash64(spread), F.lit(LOOK)) == 0)
+    total = some.count()
+    hot = F.broadcast(some.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * HOT_PARTS > F.lit(max(total, HOT_PARTS))).select(key, F.lit(True).alias("_hot")))
     ask = left.join(hot, key, "left").withColumn("_part", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
-    show = right.join(hot, key, "left").withColumn("_part", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")).otherwise(F.lit(0)))
+    show = right.join(hot, key, "left").withColumn("_part", F.when(F.col("_hot"), F.pmod(F.hash(spread), F.lit(parts))).otherwise(F.lit(0)))
     return ask.drop("_hot").join(show.drop("_hot"), [key, "_part"]).drop("_part")

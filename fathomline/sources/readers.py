@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +29,11 @@ def _result_schema() -> T.StructType:
 
 
 def numbered(df: DataFrame, name: str = "seq") -> DataFrame:
-    """Rows in the order of the files and of the lines in them."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Rows of a file scan with their place: file (by path), block in the file, row in the block.
+
+    A row number alone would follow the splits, which Spark packs by size.
+    """
+    return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -70,17 +79,17 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def beir_queries(spark: SparkSession, path: str) -> DataFrame:
-    rows = json_lines(spark, path, "_id string, query_id string, text string, title string")
+    rows = numbered(json_lines(spark, path, "_id string, query_id string, text string, title string"))
     key = F.coalesce("_id", "query_id")
     key = F.when(key.isNull(), F.raise_error(F.lit("query without an id"))).otherwise(key)
-    return numbered(rows.select(key.alias("query_id"), first_text(F.col("text"), F.col("title"), key).alias("text")))
+    return rows.select(key.alias("query_id"), first_text(F.col("text"), F.col("title"), key).alias("text"), "seq")
 
 
 def beir_qrels(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, candidate_id, score, seq) with a header of either spelling; a score that is no number is an error."""
-    rows = spark.read.csv(path, sep="\t", header=True)
+    rows = numbered(spark.read.csv(path, sep="\t", header=True))
     name = lambda *names: next(F.col(f"`{n}`") for n in names if n in rows.columns)
-    return numbered(rows.select(name("query-id", "query_id").alias("query_id"), name("corpus-id", "corpus_id").alias("candidate_id"), name("score").cast("int").alias("score")))
+    return rows.select(name("query-id", "query_id").alias("query_id"), name("corpus-id", "corpus_id").alias("candidate_id"), name("score").cast("int").alias("score"), "seq")
 
 
 def trec_qrels(spark: SparkSession, path: str) -> DataFrame:
@@ -99,18 +108,91 @@ def clicks(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("query_id is not null and candidate_id is not null").where(~header)
 
 
+_SPACE = re.compile(r"\s*")
+
+
+def top_level(read, size: int = 4 << 20) -> Iterator[tuple[str | None, str]]:
+    """(key, text) of every value of a JSON list (key: null) or map, read in parts: the whole is never held."""
+    decoder, decode = json.JSONDecoder(), codecs.getincrementaldecoder("utf-8-sig")()
+    buffer, at, ended = "", 0, False
+
+    def more() -> None:
+        nonlocal buffer, at, ended
+        part = read(max(size, len(buffer) - at))  # a value that fills the buffer doubles it
+        ended = not part
+        buffer, at = buffer[at:] + decode.decode(part, ended), 0
+
+    def skip() -> str:
+        nonlocal at
+        while True:
+            at = _SPACE.match(buffer, at).end()
+            if at < len(buffer) or ended:
+                return buffer[at : at + 1]
+            more()
+
+    def value() -> tuple[object, str]:
+        nonlocal at
+        while True:
+            try:
+                got, end = decoder.raw_decode(buffer, at)
+                if end < len(buffer) or ended:  # else a number may go on
+                    text, at = buffer[at:end], end
+                    return got, text
+            except json.JSONDecodeError:
+                if ended:
+                    raise
+            more()
+
+    first = skip()
+    if first not in ("[", "{"):
+        raise ValueError("neither a JSON list nor a map")
+    at += 1
+    close = "]" if first == "[" else "}"
+    while (c := skip()) != close:
+        if c == ",":
+            at += 1
+            skip()
+        key = None
+        if first == "{":
+            key = value()[0]
+            if skip() != ":":
+                raise ValueError("a key without a value")
+            at += 1
+            skip()
+        yield key, value()[1]
+        if skip() not in (",", close):
+            raise ValueError("a list or map that is cut off")
+
+
+def _top_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    kinds = [pa.string(), pa.string(), pa.int64()]
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            system, where = fs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
+            with system.open_input_stream(where) as f:
+                held, size = [], 0
+                for at, (key, text) in enumerate(top_level(f.read)):
+                    held.append((key, text, at))
+                    size += len(text)
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=["k", "value", "line"])
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=["k", "value", "line"])
+
+
 def _papers(spark: SparkSession, path: str, at: int) -> DataFrame:
-    """(id, paper, order) of a JSON map from id to paper, a JSON list of papers, or JSON lines."""
-    lines = spark.read.text(path, wholetext=not path.endswith("l")).where(F.trim("value") != "").select(F.parse_json("value").alias("v"), F.monotonically_increasing_id().alias("line"))
-    kind = F.schema_of_variant("v")
-    own = F.coalesce(*(F.try_variant_get("v", f"$.{k}", "string") for k in ("paper_id", "_id", "id")))
+    """(id, paper, order) of a JSON map from id to paper, a JSON list of papers, or JSON lines, of any size."""
     if path.endswith("l"):
-        rows = lines.select(own.alias("id"), F.col("v").alias("paper"), F.col("line").alias("o"))
+        lines = numbered(spark.read.text(path).where(F.trim("value") != ""), "line").withColumn("k", F.lit(None).cast("string"))
     else:
-        lists = lines.where(F.startswith(kind, F.lit("ARRAY"))).select(F.posexplode(as_list(F.col("v"))).alias("o", "v")).select(own.alias("id"), F.col("v").alias("paper"), F.col("o").cast("long").alias("o"))
-        maps = lines.where(F.startswith(kind, F.lit("OBJECT"))).select(F.posexplode(F.try_variant_get("v", "$", "map<string, variant>")).alias("o", "k", "v"))
-        rows = lists.unionByName(maps.select(F.coalesce(own, F.col("k")).alias("id"), F.col("v").alias("paper"), F.col("o").cast("long").alias("o")))
-    return rows.select("id", "paper", F.struct(F.lit(at).alias("file"), "o").alias("order"))
+        lines = spark.createDataFrame([(path,)], "path string").mapInArrow(_top_level, "k string, value string, line long")
+        lines = lines.withColumn("line", F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), F.col("line").alias("row")))
+    rows = lines.select("k", F.parse_json("value").alias("v"), "line")
+    own = F.coalesce(*(F.try_variant_get("v", f"$.{k}", "string") for k in ("paper_id", "_id", "id")))
+    return rows.select(F.coalesce(own, F.col("k")).alias("id"), F.col("v").alias("paper"), F.struct(F.lit(at).alias("file"), F.col("line").alias("o")).alias("order"))
 
 
 def paper_metadata(spark: SparkSession, paths: list[str]) -> DataFrame:

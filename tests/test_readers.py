@@ -122,3 +122,32 @@ def test_corpus_first_wins(spark):
     assert kept.count() == dropped.count() == 1
     with pytest.raises(ValueError):
         cp.audited_positives(dropped, kept, "strict")
+
+
+def test_rows_keep_the_order_of_the_files(spark, tmp_path):
+    """The last record wins, also where a later file is much larger than an earlier one."""
+    record = lambda d: '{"id": "1", "title": "T", "entities": [{"entity_name": "Alpha", "description": "%s"}]}' % d
+    (tmp_path / "s1.jsonl").write_text(record("early") + "\n")
+    (tmp_path / "s2.jsonl").write_text("\n".join(record("late" + "x" * 90) for _ in range(20_000)) + "\n" + record("last") + "\n")
+    titles = spark.createDataFrame([("alpha",)], "title string")
+    got = readers.extractions(spark, str(tmp_path), titles).collect()
+    assert [r["entities"][0]["description"] for r in got] == ["last"]
+
+
+@pytest.mark.parametrize("size", [1, 7, 1 << 20])
+def test_top_level_values_in_parts(size):
+    import io
+
+    values = {"a": {"x": [1, {"y": "ü]}"}]}, "b": 12, "c": None, "d\"": "z"}
+    for text, want in ((json.dumps(values, ensure_ascii=False, indent=1), values.items()), (" [ ] ", []), ("{}", []), (json.dumps([1, [2], "3"]), [(None, 1), (None, [2]), (None, "3")])):
+        assert [(k, json.loads(v)) for k, v in readers.top_level(io.BytesIO(text.encode()).read, size)] == list(want)
+    for bad in ("12", "", '[1, 2', '{"a" 1}', '[{"a": ]'):
+        with pytest.raises(ValueError):
+            list(readers.top_level(io.BytesIO(bad.encode()).read, size))
+
+
+def test_papers_of_a_map_and_of_a_list(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"p1": {"title": "A", "abstract": "short"}, "p2": {"paper_id": "q2", "title": "B", "text": "t"}}))
+    (tmp_path / "b.json").write_text(json.dumps([{"paper_id": "p1", "title": "A2", "abstract": "much longer"}]))
+    got = readers.paper_metadata(spark, [str(tmp_path / "a.json"), "file://" + str(tmp_path / "b.json")]).collect()
+    assert {tuple(r) for r in got} == {("p1", "A2", "much longer"), ("q2", "B", "t")}
