@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..plans.stage import stage, width
 
-#: Rows in one stored run, and runs that one merge takes at most.
-RUN_ROWS, FAN_IN = 200_000, 512
-_RUN = "bucket int, run long, groups array<string>, items array<string>, scores array<double>"
+#: Rows in one block of a stored run, and runs that one merge takes at most: it holds a block of each.
+BLOCK_ROWS, FAN_IN = 1024, 512
+_RUN = "bucket int, run long, g0 string, s0 double, i0 string, groups array<string>, items array<string>, scores array<double>"
 
 
 class LoserTree:
@@ -50,8 +51,8 @@ class LoserTree:
         self.top = at
 
 
-class _Run:
-    """A stored run and a place in it; ``seek`` jumps over the rest of the current group."""
+class _Block:
+    """A block of a stored run and a place in it; ``seek`` jumps over the rest of the current group."""
 
     def __init__(self, groups: list[str], items: list[str], scores: list[float]):
         self.groups, self.items, self.scores, self.at = groups, items, scores, 0
@@ -74,40 +75,68 @@ class _Run:
         return self.key()
 
 
-def merge_runs(runs: list[_Run], n: int) -> Iterator[tuple[str, str, float]]:
-    """The first ``n`` distinct items of every group, in order; each run is left at the next group thereafter."""
-    tree = LoserTree([r.key() for r in runs])
-    while (key := tree.keys[tree.top]) is not None:
-        group, seen = key[0], set()
-        while key is not None and key[0] == group:
+def merge_runs(blocks: Iterator[tuple[int, tuple, Callable[[], _Block]]], n: int) -> Iterator[tuple[str, str, float]]:
+    """The first ``n`` distinct items of every group, in order.
+
+    blocks: (run, first key, how to load it) of all runs, by first key.  A block is loaded when the merge comes to its
+    first key, and left when it is used up, so a merge holds about one block a run.  After ``n`` outputs of a group all
+    loaded blocks seek the next one, and blocks that lie wholly within the group are left again at once.
+    """
+    blocks = iter(blocks)
+    waiting = next(blocks, None)
+    held: list[_Block] = []
+    group, seen = None, set()
+    while held or waiting:
+        first = min((b.key() for b in held), default=None)
+        while waiting and (first is None or waiting[1] <= first):
+            block = waiting[2]()
+            if group is not None and len(seen) == n:
+                block.seek(group)
+            if block.key() is not None:
+                held.append(block)
+                first = min(first, block.key()) if first else block.key()
+            waiting = next(blocks, None)
+        tree = LoserTree([b.key() for b in held])
+        bound = waiting[1] if waiting else None
+        while (key := tree.keys[tree.top]) is not None and (bound is None or key < bound):
+            if key[0] != group:
+                group, seen = key[0], set()
             if len(seen) == n:
-                tree.replace(runs[tree.top].seek(group))
+                tree.replace(held[tree.top].seek(group))
             else:
                 if key[2] not in seen:
                     seen.add(key[2])
                     yield group, key[2], -key[1]
-                tree.replace(runs[tree.top].step())
-            key = tree.keys[tree.top]
+                tree.replace(held[tree.top].step())
+        held = [b for b in held if b.key() is not None]
 
 
-def _batches(rows: Iterator[tuple[int, int, str, str, float]]) -> Iterator[pa.RecordBatch]:
-    """Runs of at most RUN_ROWS rows from rows that are sorted by (bucket, group, score, item)."""
+def _blocks(rows: Iterator[tuple[int, int, str, str, float]]) -> Iterator[pa.RecordBatch]:
+    """Blocks of at most BLOCK_ROWS rows from rows that are sorted by (bucket, group, score, item)."""
     held: list[tuple] = []
+    made: list[tuple] = []
     for row in rows:
-        if held and (row[:2] != held[0][:2] or len(held) == RUN_ROWS):
-            yield _as_run(held)
+        if held and (row[:2] != held[0][:2] or len(held) == BLOCK_ROWS):
+            made.append(_as_block(held))
             held = []
+            if len(made) == 64:
+                yield _as_batch(made)
+                made = []
         held.append(row)
     if held:
-        yield _as_run(held)
+        made.append(_as_block(held))
+    if made:
+        yield _as_batch(made)
 
 
-def _as_run(rows: list[tuple]) -> pa.RecordBatch:
+def _as_block(rows: list[tuple]) -> tuple:
     bucket, run, groups, items, scores = zip(*rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[:1], pa.int32()), pa.array(run[:1], pa.int64()), pa.array([groups], pa.list_(pa.string())), pa.array([items], pa.list_(pa.string())), pa.array([scores], pa.list_(pa.float64()))],
-        names=["bucket", "run", "groups", "items", "scores"],
-    )
+    return bucket[0], run[0], groups[0], scores[0], items[0], groups, items, scores
+
+
+def _as_batch(made: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.float64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names=["bucket", "run", "g0", "s0", "i0", "groups", "items", "scores"])
 
 
 def _cut(n: int):
@@ -137,26 +166,32 @@ def _cut(n: int):
                                 yield bucket, split, name, item, score
                         at += 4 * n
 
-        yield from _batches(rows())
+        yield from _blocks(rows())
 
     return run
 
 
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], int, tuple, Callable[[], _Block]]]:
+    for batch in batches:
+        heads = zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "run", "g0", "s0", "i0")))
+        for i, (bucket, part, run, g, s, item) in enumerate(heads):
+            yield (bucket, part), run, (g, -s, item), lambda b=batch, i=i: _Block(*(b.column(c)[i].values.to_pylist() for c in ("groups", "items", "scores")))
+
+
 def _merge(n: int, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[_Run]] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                held.setdefault((r["bucket"], r["run"]), []).append(_Run(r["groups"], r["items"], r["scores"]))
-        for (bucket, part), runs in sorted(held.items()):
-            merged = merge_runs(runs, n)
-            if last:
-                rows = list(merged)
-                for a in range(0, len(rows), 50_000):
-                    g, i, s = zip(*rows[a : a + 50_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(i, pa.string()), pa.array(s, pa.float64())], names=["g", "i", "s"])
-            else:
-                yield from _batches((bucket, part, *row) for row in merged)
+        def rows():
+            for (bucket, part), blocks in groupby(_stored(batches), key=lambda b: b[0]):
+                for row in merge_runs((b[1:] for b in blocks), n):
+                    yield bucket, part, *row
+
+        if not last:
+            yield from _blocks(rows())
+            return
+        found = rows()
+        while some := list(islice(found, 10_000)):
+            _, _, g, i, s = zip(*some)
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(i, pa.string()), pa.array(s, pa.float64())], names=["g", "i", "s"])
 
     return run
 
@@ -168,9 +203,10 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int) -> DataFrame
     highest score; groups with fewer items keep all; an empty table gives no rows; other columns are ignored.
 
     1. Every input split is sorted (spilling if need be) by bucket, group, score and item, and cut to the first n of
-       each group: a group that holds a third of all rows leaves n rows a split.  Runs are stored as rows of arrays.
-    2. Runs of a bucket are merged by a loser tree; after n outputs every run seeks the next group.  Where there are
-       more than FAN_IN splits, merges of FAN_IN runs come first, so no merge ever holds more.
+       each group: a group that holds a third of all rows leaves n rows a split.  Runs are stored as sorted blocks.
+    2. The blocks of a bucket come to its task by their first keys (sorted by Spark, on disk if need be) and are merged
+       by a loser tree; after n outputs every run seeks the next group.  Where there are more than FAN_IN splits, merges
+       of FAN_IN runs come first.  A merge holds about a block a run, however large the bucket is.
     """
     spark = df.sparkSession
     buckets = width(spark)
@@ -182,9 +218,10 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int) -> DataFrame
     split = rows.sortWithinPartitions("bucket", "g", F.desc("s"), "i").mapInArrow(_cut(n), _RUN)
     runs = stage(split, "runs")
     parts = (runs.agg(F.max("run")).first()[0] or 0) + 1
+    order = ["bucket", "part", "g0", F.desc("s0"), "i0"]
     while parts > FAN_IN:
         parts = -(-parts // FAN_IN)
-        merged = runs.withColumn("run", F.col("run") % F.lit(parts)).repartition(buckets, "bucket", "run").mapInArrow(_merge(n, False), _RUN)
+        merged = runs.withColumn("part", F.col("run") % F.lit(parts)).repartition(buckets, "bucket", "part").sortWithinPartitions(*order).mapInArrow(_merge(n, False), _RUN)
         runs = stage(merged, "runs")
-    best = runs.withColumn("run", F.lit(0).cast("long")).repartition(buckets, "bucket").mapInArrow(_merge(n, True), "g string, i string, s double")
+    best = runs.withColumn("part", F.lit(0).cast("long")).repartition(buckets, "bucket").sortWithinPartitions(*order).mapInArrow(_merge(n, True), "g string, i string, s double")
     return best.select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomline.llm.fuse import fused, fused_ranking, leaders
 from fathomline.llm.ledger import Ledger, collapse, copies_of, read_payloads, record_key
-from fathomline.llm.topn import LoserTree, _Run, merge_runs, top_n
+from fathomline.llm.topn import LoserTree, _Block, merge_runs, top_n
 
 W = {"s": 0.5, "g": 0.5}
 
@@ -44,10 +44,44 @@ def test_loser_tree_merges(lists):
     assert out == sorted(itertools.chain(*lists))
 
 
+def blocks_of(runs, size):
+    """Runs of (group, item, score), sorted, as blocks by their first keys."""
+    key = lambda r: (r[0], -r[2], r[1])
+    cut = [(i, key(some[0]), lambda some=some: _Block(*map(list, zip(*some)))) for i, run in enumerate(runs) for a in range(0, len(run), size) if (some := run[a : a + size])]
+    return sorted(cut, key=lambda b: b[1])
+
+
 def test_merge_seeks_next_group():
-    a = _Run(["a"] * 50 + ["b"], [f"i{k:02d}" for k in range(50)] + ["x"], [1.0] * 50 + [0.5])
-    b = _Run(["a", "c"], ["i00", "y"], [2.0, 1.0])
-    assert list(merge_runs([a, b], 2)) == [("a", "i00", 2.0), ("a", "i01", 1.0), ("b", "x", 0.5), ("c", "y", 1.0)]
+    a = [("a", f"i{k:02d}", 1.0) for k in range(50)] + [("b", "x", 0.5)]
+    b = [("a", "i00", 2.0), ("c", "y", 1.0)]
+    for size in (1, 3, 99):
+        assert list(merge_runs(blocks_of([a, b], size), 2)) == [("a", "i00", 2.0), ("a", "i01", 1.0), ("b", "x", 0.5), ("c", "y", 1.0)]
+
+
+@given(st.lists(st.lists(st.tuples(st.sampled_from("abcd"), st.sampled_from("uvwxyz"), st.sampled_from([0.0, 0.5, 1.0])), max_size=30), max_size=7), st.integers(1, 4), st.integers(1, 5))
+@settings(max_examples=80, deadline=None)
+def test_merge_of_blocks_equals_sorting(runs, size, n):
+    """A block is loaded no sooner than the merge comes to it, and the result is that of sorting everything."""
+    key = lambda r: (r[0], -r[2], r[1])
+    want, seen = [], {}
+    for g, i, s in sorted(itertools.chain(*runs), key=key):
+        if i not in seen.setdefault(g, []) and len(seen[g]) < n:
+            seen[g].append(i)
+            want.append((g, i, s))
+    assert list(merge_runs(blocks_of([sorted(r, key=key) for r in runs], size), n)) == want
+
+
+def test_merge_holds_a_block_a_run():
+    loaded, out = [], 0
+    runs = [[(f"g{g:03d}", f"i{r}", 1.0) for g in range(200)] for r in range(4)]
+
+    def counted(block):
+        loaded.append(1)
+        return block()
+
+    for _ in merge_runs([(i, k, lambda b=b: counted(b)) for i, k, b in blocks_of(runs, 10)], 9):
+        out += 1
+        assert len(loaded) <= 4 * (out // 40 + 1)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -112,11 +146,31 @@ def test_ledger(spark):
     assert {tuple(r) for r in collapse([both], "record_id", ["title", "text"])[0].collect()} == {tuple(r) for r in collapse([raw, known.limit(0), known], "record_id", ["title", "text"])[0].collect()}
 
 
-def test_ledger_rewrites_only_touched_buckets(spark):
-    ledger = Ledger(spark, 8)
+def test_ledger_goes_on_in_another_session(spark, tmp_path, monkeypatch):
+    """A second run finds the first one's counts; a repeated batch changes nothing; buckets grow; only the batch moves."""
+    from fathomline.llm import ledger as module
+
+    where = str(tmp_path / "ledger")
     df = spark.createDataFrame([(f"r{i}", f"t{i}") for i in range(200)], "id string, t string").withColumn("key", record_key(F.col("t")))
-    ledger.apply(df, "id")
-    before = dict(ledger.where)
-    ledger.apply(df.where("id = 'r5'"), "id")
-    assert sum(before[b] != p for b, p in ledger.where.items()) == 1
-    assert {r["first_id"]: r["copies"] for r in ledger.read().collect()} == {f"r{i}": 1 + (i == 5) for i in range(200)}
+    Ledger(spark, where).apply(df, "id", "monday")
+    other = spark.newSession()
+    again = Ledger(other, where)
+    assert again.state["keys"] == 200 and again.state["buckets"] == module.BUCKETS
+    again.apply(df, "id", "monday")
+    monkeypatch.setattr(module, "BUCKET_KEYS", 10)
+    late = other.createDataFrame([("r5", "t5"), ("a7", "T7"), ("new", "t999")], "id string, t string").withColumn("key", record_key(F.col("t")))
+    again.apply(late, "id", "tuesday")
+    last = Ledger(spark, where)
+    assert last.state["buckets"] == 32 and last.state["applied"] == ["monday", "tuesday"]
+    want = {f"r{i}": 1 + (i == 5) for i in range(200) if i != 7} | {"a7": 2, "new": 1}
+    assert {r["first_id"]: r["copies"] for r in last.read().collect()} == want
+    joined = late.groupBy("key").count().repartition(32, "key").hint("merge").join(last._table(), "key", "full_outer")
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # of the batch
+
+
+def test_batches_of_two_runs_equal_one(spark, tmp_path):
+    known = spark.createDataFrame(RECORDS, "record_id string, title string, text string")
+    raw = read_payloads(spark.createDataFrame(RAW, "record_id string, payload string"), "payload", ["record_id"], ["title", "text"])
+    for batch in (known, raw):
+        ledger, _ = collapse([batch], "record_id", ["title", "text"], str(tmp_path / "l"))
+    assert {tuple(r) for r in ledger.collect()} == {tuple(r) for r in collapse([known, raw], "record_id", ["title", "text"])[0].collect()}
