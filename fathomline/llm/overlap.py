@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.skew import join_salted
 from ..plans.stage import stage
 from .chars import chunks, mixed, words
 
 #: MinHash bands and rows in each.  Word bags that share 80% of the longer have a Jaccard index of 2/3 or more, and are
 #: found with a probability of 0.99 (0.9995 where they share 85%).
 BANDS, ROWS = 36, 5
-#: 64-bit words of the bit mask that travels with a record's bands.
-MASKS = 2
+#: 64-bit words of a record's bit mask.
+MASKS = 4
 TRAIN, EVALUATION = ("train",), ("validation", "test")
 
 
@@ -49,7 +50,7 @@ def band_keys(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     for i, a in enumerate(_factors()):
         least = np.minimum.reduceat((tokens * a) >> np.uint64(32), starts)
         out[i // ROWS] = mixed(out[i // ROWS] + least + np.uint64(i))
-    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32).T  # half the bytes; a chance meeting is only one more pair to check
+    return out.view(np.int64).T
 
 
 def bit_masks(tokens: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -132,25 +133,25 @@ def near_links(found: DataFrame) -> DataFrame:
     """(cid_e, cid_t): different classes, one with evaluation and one with training records, that share at least 80%
     of the words of the longer text.
 
-    MinHash bands propose pairs; two bit counts drop those that cannot reach 80% while they are being joined, without
-    losing one; the words themselves decide.
+    MinHash bands propose pairs, by keys of 64 bits that carry nothing but the class; a band that many classes share is
+    spread over all tasks.  Two bit counts drop pairs that cannot reach 80%, without losing one; the words decide.
     """
     fields = [T.StructField("kind", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("cid", "n_train", "n_eval")), T.StructField("n", T.IntegerType())]
-    fields += [*(T.StructField(f"w{k}", T.LongType()) for k in range(MASKS)), T.StructField("bands", T.ArrayType(T.IntegerType()))]
+    fields += [*(T.StructField(f"w{k}", T.LongType()) for k in range(MASKS)), T.StructField("bands", T.ArrayType(T.LongType()))]
     signed = found.select("kind", "cid", "n_train", "n_eval", "canon").mapInArrow(_signatures, T.StructType(fields))
     posted = stage(signed, "signatures")
-    masks = [f"w{k}" for k in range(MASKS)]
 
     def postings(side: str, s: str) -> DataFrame:
-        rows = posted.where(F.col(side) > 0).select("kind", F.col("cid").alias(f"cid_{s}"), F.col("n").alias(f"n_{s}"), *(F.col(w).alias(f"{w}_{s}") for w in masks), F.explode("bands").alias("band"))
-        return rows.withColumn("band", F.hash("kind", "band")).drop("kind")
+        rows = posted.where(F.col(side) > 0).select("kind", F.col("cid").alias(f"cid_{s}"), F.explode("bands").alias("band"))
+        return rows.select(F.xxhash64("kind", "band").alias("band"), f"cid_{s}")
 
-    pairs = postings("n_eval", "e").join(postings("n_train", "t"), "band")
+    met = join_salted(postings("n_eval", "e"), postings("n_train", "t"), "band", "cid_t").where(F.col("cid_e") != F.col("cid_t")).distinct()
+    masks = [f"w{k}" for k in range(MASKS)]
+    facts = lambda s: posted.select(F.col("cid").alias(f"cid_{s}"), F.col("n").alias(f"n_{s}"), *(F.col(w).alias(f"{w}_{s}") for w in masks))
     only = lambda a, b: sum((F.bit_count(F.col(f"{w}_{a}").bitwiseAND(F.bitwise_not(F.col(f"{w}_{b}")))) for w in masks), F.lit(0))
     longer = F.greatest("n_e", "n_t") * 4
-    pairs = pairs.where((F.col("cid_e") != F.col("cid_t")) & (F.least("n_e", "n_t") * 5 >= longer))
-    pairs = pairs.where(((F.col("n_e") - only("e", "t")) * 5 >= longer) & ((F.col("n_t") - only("t", "e")) * 5 >= longer))
-    pairs = pairs.select("cid_e", "cid_t").distinct()
+    pairs = met.join(facts("e"), "cid_e").join(facts("t"), "cid_t").where(F.least("n_e", "n_t") * 5 >= longer)
+    pairs = pairs.where(((F.col("n_e") - only("e", "t")) * 5 >= longer) & ((F.col("n_t") - only("t", "e")) * 5 >= longer)).select("cid_e", "cid_t")
     texts = found.select("cid", "canon")
     with_text = pairs.join(texts.select(F.col("cid").alias("cid_e"), F.col("canon").alias("canon_e")), "cid_e").join(texts.select(F.col("cid").alias("cid_t"), F.col("canon").alias("canon_t")), "cid_t")
     return stage(with_text.select("cid_e", "cid_t", "canon_e", "canon_t").mapInArrow(_verified, "cid_e long, cid_t long"), "links")
@@ -172,9 +173,9 @@ def overlaps(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """(key_a, key_b): all pairs of an evaluation and a training record whose classes are linked, smaller key first."""
-    e = members.where("side = 'e'").select(F.col("digest").alias("digest_e"), F.col("key").alias("e")).distinct()
-    t = members.where("side = 't'").select(F.col("digest").alias("digest_t"), F.col("key").alias("t")).distinct()
-    pairs = links.join(e, "digest_e").join(t, "digest_t").where(F.col("e") != F.col("t"))
+    end = lambda s: stage(members.where(F.col("side") == s).select(F.col("digest").alias(f"digest_{s}"), F.col("key").alias(s)).distinct(), "members")
+    some = stage(join_salted(links, end("e"), "digest_e", "e"), "ends")
+    pairs = join_salted(some, end("t"), "digest_t", "t").where(F.col("e") != F.col("t"))
     return pairs.select(F.least("e", "t").alias("key_a"), F.greatest("e", "t").alias("key_b")).distinct()
 
 
