@@ -17,7 +17,7 @@ from .chars import chunks, mixed, words
 #: MinHash bands and rows in each.  Word bags that share 80% of the longer have a Jaccard index of 2/3 or more, and are
 #: found with a probability of 0.99 (0.9995 where they share 85%).
 BANDS, ROWS = 36, 5
-#: 64-bit words of a record's bit mask.
+#: 64-bit words of a record's bit mask; half of them, folded, travel with its bands.
 MASKS = 4
 TRAIN, EVALUATION = ("train",), ("validation", "test")
 
@@ -133,25 +133,32 @@ def near_links(found: DataFrame) -> DataFrame:
     """(cid_e, cid_t): different classes, one with evaluation and one with training records, that share at least 80%
     of the words of the longer text.
 
-    MinHash bands propose pairs, by keys of 64 bits that carry nothing but the class; a band that many classes share is
-    spread over all tasks.  Two bit counts drop pairs that cannot reach 80%, without losing one; the words decide.
+    MinHash bands propose pairs, by keys of 64 bits; a band that many classes share is spread over all tasks.  Bit counts
+    drop pairs that cannot reach 80%, without losing one: folded masks while the bands are joined, whole ones after
+    each pair is there once.  The words decide.
     """
     fields = [T.StructField("kind", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("cid", "n_train", "n_eval")), T.StructField("n", T.IntegerType())]
     fields += [*(T.StructField(f"w{k}", T.LongType()) for k in range(MASKS)), T.StructField("bands", T.ArrayType(T.LongType()))]
     signed = found.select("kind", "cid", "n_train", "n_eval", "canon").mapInArrow(_signatures, T.StructType(fields))
     posted = stage(signed, "signatures")
 
+    half = MASKS // 2
+
+    def possible(pairs: DataFrame, m: str, k: int) -> DataFrame:
+        """Without pairs whose lengths, or whose bits that the other lacks, leave less than 80%: no other pair is lost."""
+        only = lambda a, b: sum((F.bit_count(F.col(f"{m}{i}_{a}").bitwiseAND(F.bitwise_not(F.col(f"{m}{i}_{b}")))) for i in range(k)), F.lit(0))
+        longer = F.greatest("n_e", "n_t") * 4
+        return pairs.where((F.least("n_e", "n_t") * 5 >= longer) & ((F.col("n_e") - only("e", "t")) * 5 >= longer) & ((F.col("n_t") - only("t", "e")) * 5 >= longer))
+
     def postings(side: str, s: str) -> DataFrame:
-        rows = posted.where(F.col(side) > 0).select("kind", F.col("cid").alias(f"cid_{s}"), F.explode("bands").alias("band"))
-        return rows.select(F.xxhash64("kind", "band").alias("band"), f"cid_{s}")
-
-    met = join_salted(postings("n_eval", "e"), postings("n_train", "t"), "band", "cid_t").where(F.col("cid_e") != F.col("cid_t")).distinct()
-    masks = [f"w{k}" for k in range(MASKS)]
-    facts = lambda s: posted.select(F.col("cid").alias(f"cid_{s}"), F.col("n").alias(f"n_{s}"), *(F.col(w).alias(f"{w}_{s}") for w in masks))
-    only = lambda a, b: sum((F.bit_count(F.col(f"{w}_{a}").bitwiseAND(F.bitwise_not(F.col(f"{w}_{b}")))) for w in masks), F.lit(0))
-    longer = F.greatest("n_e", "n_t") * 4
-    pairs = met.join(facts("e"), "cid_e").join(facts("t"), "cid_t").where(F.least("n_e", "n_t") * 5 >= longer)
-    pairs = pairs.where(((F.col("n_e") - only("e", "t")) * 5 >= longer) & ((F.col("n_t") - only("t", "e")) * 5 >= longer)).select("cid_e", "cid_t")
+        folded = [F.col(f"w{i}").bitwiseOR(F.col(f"w{i + half}")).alias(f"m{i}_{s}") for i in range(half)]
+        rows = posted.where(F.col(side) > 0).select("kind", F.col("cid").alias(f"cid_{s}"), F.col("n").alias(f"n_{s}"), *folded, F.explode("bands").alias("band"))
+        return rows.withColumn("band", F.xxhash64("kind", "band")).drop("kind")
+
+    met = join_salted(postings("n_eval", "e"), postings("n_train", "t"), "band", "cid_t").where(F.col("cid_e") != F.col("cid_t"))
+    met = possible(met, "m", half).select("cid_e", "cid_t").distinct()
+    facts = lambda s: posted.select(F.col("cid").alias(f"cid_{s}"), F.col("n").alias(f"n_{s}"), *(F.col(f"w{i}").alias(f"w{i}_{s}") for i in range(MASKS)))
+    pairs = possible(met.join(facts("e"), "cid_e").join(facts("t"), "cid_t"), "w", MASKS).select("cid_e", "cid_t")
     texts = found.select("cid", "canon")
     with_text = pairs.join(texts.select(F.col("cid").alias("cid_e"), F.col("canon").alias("canon_e")), "cid_e").join(texts.select(F.col("cid").alias("cid_t"), F.col("canon").alias("canon_t")), "cid_t")
     return stage(with_text.select("cid_e", "cid_t", "canon_e", "canon_t").mapInArrow(_verified, "cid_e long, cid_t long"), "links")
