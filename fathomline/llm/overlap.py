@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.skew import join_salted
-from ..plans.stage import stage
+from ..plans.stage import drop_stage, stage
 from .chars import chunks, mixed, words
 
 #: MinHash bands and rows in each.  Word bags that share 80% of the longer have a Jaccard index of 2/3 or more, and are
@@ -161,7 +161,9 @@ def near_links(found: DataFrame) -> DataFrame:
     pairs = possible(met.join(facts("e"), "cid_e").join(facts("t"), "cid_t"), "w", MASKS).select("cid_e", "cid_t")
     texts = found.select("cid", "canon")
     with_text = pairs.join(texts.select(F.col("cid").alias("cid_e"), F.col("canon").alias("canon_e")), "cid_e").join(texts.select(F.col("cid").alias("cid_t"), F.col("canon").alias("canon_t")), "cid_t")
-    return stage(with_text.select("cid_e", "cid_t", "canon_e", "canon_t").mapInArrow(_verified, "cid_e long, cid_t long"), "links")
+    links = stage(with_text.select("cid_e", "cid_t", "canon_e", "canon_t").mapInArrow(_verified, "cid_e long, cid_t long"), "links")
+    drop_stage(posted)
+    return links
 
 
 def overlaps(records: DataFrame) -> tuple[DataFrame, DataFrame]:
