@@ -80,4 +80,4 @@ def embed(df: DataFrame, item: str, text: str, dim: int = 256, ngrams: int = 2,
 def split_side(seed: int, query_id: Column, fraction: float) -> Column:
     """``validation`` for a fixed share of the queries by the hash of seed and id, else ``train``."""
     top = F.conv(F.substring(F.sha1(F.concat(F.lit(f"{seed}:"), query_id)), 1, 16), 16, 10).cast("decimal(20,0)")
-    return F.when(top < F.lit(int(fraction * 2**64)).cast("decimal(20,0)"), F.lit("validation")).otherwise(F.lit("train"))
+    return F.when(top < F.lit(str(int(fraction * 2**64))).cast("decimal(20,0)"), F.lit("validation")).otherwise(F.lit("train"))

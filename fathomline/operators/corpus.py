@@ -32,7 +32,7 @@ def corpus_stats(df: DataFrame, title: str = "title", text: str = "text") -> Dat
 
 def corpus_texts(df: DataFrame, item: str, title: str, abstract: str) -> DataFrame:
     """(candidate_id, text): title and abstract on lines of their own, blanks dropped, in id order."""
-    return df.select(F.col(item).cast("string").alias("candidate_id"), joined(F.col(title), F.col(abstract)).alias("text"))
+    return df.select(F.col(item).cast("string").alias("candidate_id"), joined(F.col(title), F.col(abstract)).alias("text")).orderBy("candidate_id")
 
 
 def require_unique(df: DataFrame, key: str, what: str) -> DataFrame:
@@ -71,8 +71,14 @@ def qrels(df: DataFrame, query: str, candidate: str, score: Column, seq: str) ->
     return rows
 
 
-def audited_positives(positives: DataFrame, corpus: DataFrame, mode: str = "drop") -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped) positives by whether the corpus has them; ``strict`` fails where one is missing."""
+def audited_positives(positives: DataFrame, corpus: DataFrame | None, mode: str = "drop") -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped) positives by whether the corpus has them; ``strict`` fails where one is missing.
+
+    Without a corpus there is nothing to check; empty ids of the corpus match nothing.
+    """
+    if corpus is None:
+        return positives, positives.limit(0)
+    corpus = corpus.where("candidate_id <> ''")
     ids = corpus.select("candidate_id").distinct()
     kept, dropped = positives.join(ids, "candidate_id", "left_semi"), positives.join(ids, "candidate_id", "left_anti")
     if mode == "strict" and dropped.head(1):

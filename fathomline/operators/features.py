@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -11,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import pair_features
+from .rankers import erf
 from .semantic import top
 
-_erf = np.vectorize(math.erf, otypes=[float])
 NUMERIC = ["f_semantic", "f_graph", "f_score", "f_nodes", "f_edges", "f_paths", "f_hops"]
 
 
@@ -31,9 +30,14 @@ def labelled(pairs: DataFrame, positives: DataFrame) -> DataFrame:
     return pairs.join(pos, ["query_id", "candidate_id"], "left").withColumn("label", F.coalesce("_y", F.lit(0.0))).drop("_y")
 
 
-def full(numbers: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """4 D + 7 features of every pair as one array."""
-    rows = numbers.join(corpus.select("candidate_id", F.col("vector").alias("_c")), "candidate_id").join(queries.select("query_id", F.col("vector").alias("_q")), "query_id")
+def full(numbers: DataFrame, queries: DataFrame, corpus: DataFrame, strict: bool = False) -> DataFrame:
+    """4 D + 7 features of every pair as one array; ``strict``: a candidate or query without a vector is an error, else
+    it has no row."""
+    how = "left" if strict else "inner"
+    rows = numbers.join(corpus.select("candidate_id", F.col("vector").alias("_c")), "candidate_id", how).join(queries.select("query_id", F.col("vector").alias("_q")), "query_id", how)
+    if strict:
+        missing = F.raise_error(F.concat_ws(" ", F.lit("no vector for"), "query_id", F.lit("or"), "candidate_id"))
+        rows = rows.withColumn("_c", F.when(F.col("_c").isNull() | F.col("_q").isNull(), missing).otherwise(F.col("_c")))
     return rows.select("query_id", "candidate_id", "rank", F.concat(pair_features(F.col("_q"), F.col("_c")), F.array(*NUMERIC)).alias("features"), F.col("f_score").alias("score"))
 
 
@@ -63,7 +67,7 @@ def write_dataset(rows: DataFrame, path: str, side: str, per_file: int = 512) ->
 
 
 def gelu(x: np.ndarray) -> np.ndarray:
-    return 0.5 * x * (1 + _erf(x / 2**0.5))
+    return 0.5 * x * (1 + erf(x / 2**0.5))
 
 
 def layer_norm(x: np.ndarray, gain: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -140,11 +144,18 @@ def score_sets(rows: DataFrame, model: Callable, k: int, candidates: int = 100)
 
 
 def _gradient(w: np.ndarray):
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(g["features"].to_numpy()), g["label"].to_numpy()
-        s = x @ w
-        p = np.exp(s - s.max())
-        return pd.DataFrame({"g": [((p / p.sum() - y / y.sum()) @ x).tolist()], "n": [1]})
+    """Sum of the queries' gradients of one task: a row of the features' length, whatever the number of queries."""
+
+    def run(batches):
+        total, n = np.zeros(len(w)), 0
+        for b in batches:
+            for rows in b["rows"]:
+                x, y = np.stack([np.asarray(r["features"]) for r in rows]), np.array([r["label"] for r in rows])
+                s = x @ w
+                p = np.exp(s - s.max())
+                total, n = total + (p / p.sum() - y / y.sum()) @ x, n + 1
+        if n:
+            yield pd.DataFrame({"g": [total.tolist()], "n": [n]})
 
     return run
 
@@ -157,15 +168,15 @@ def fit_listwise(rows: DataFrame, epochs: int = 50, rate: float = 0.5, decay: fl
     rows: query_id, features, label; queries without a positive don't count.  Each epoch is one aggregation of the
     gradient over the cluster; only a vector of the features' length reaches the driver.
     """
-    valid = rows.join(rows.where("label > 0").select("query_id").distinct(), "query_id", "left_semi").select("query_id", "features", "label").persist()
+    valid = rows.join(rows.where("label > 0").select("query_id").distinct(), "query_id", "left_semi").groupBy("query_id").agg(F.collect_list(F.struct("features", "label")).alias("rows")).persist()  # a query's top-k
     try:
-        one = valid.select(F.size("features")).first()
+        one = valid.select(F.size(F.col("rows")[0]["features"])).first()
         if one is None:
             raise ValueError("no query has a positive")
         w = np.zeros(one[0])
         best = None
         for _ in range(epochs):
-            each = valid.groupBy("query_id").applyInPandas(_gradient(w), "g array<double>, n long")
+            each = valid.select("rows").mapInPandas(_gradient(w), "g array<double>, n long")
             total = each.select("n", F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
             g = np.zeros(len(w))
             for r in total:

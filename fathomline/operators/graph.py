@@ -72,7 +72,7 @@ def citation_graph(papers: DataFrame, corpus: DataFrame, forbidden: DataFrame, r
     link = lambda node, relation: (F.col("candidate_id"), node.alias("node_id"), F.lit(relation).alias("relation"), F.lit(1.0).alias("weight"))
     represents = ids.select(*link(cand(F.col("candidate_id")), "represents"))
     authors = held.select("candidate_id", F.explode("authors").alias("a")).where("trim(a) <> ''").select(*link(F.concat(F.lit("author::"), F.trim("a")), "authored_by"))
-    fields = held.select("candidate_id", F.explode("fields").alias("f")).where("trim(f) <> ''").select(*link(F.concat(F.lit("field::"), F.lower(F.trim("f"))), "in_field"))
+    fields = held.select("candidate_id", F.explode("fields").alias("f")).where("trim(f) <> ''").select(*link(F.concat(F.lit("field::"), F.lower(F.trim("f"))), "has_field"))
     refs = held.join(forbidden.select(F.col("candidate_id").cast("string")).distinct(), "candidate_id", "left_anti").select("candidate_id", F.explode("references").alias("t"))
     refs = refs.join(ids.withColumnRenamed("candidate_id", "t"), "t", "left_semi").where("t <> candidate_id").distinct()
     edges = refs.select(cand(F.col("candidate_id")).alias("source"), cand(F.col("t")).alias("target"), F.lit("cites").alias("relation"), F.lit(1.0).alias("weight"))
@@ -83,6 +83,23 @@ def citation_graph(papers: DataFrame, corpus: DataFrame, forbidden: DataFrame, r
     return Graph(nodes, links, edges)
 
 
+def citation_counts(papers: DataFrame, corpus: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """One row of counters of a citation graph's build: papers inside and outside the corpus, links that were found
+    (repeats included), references that count, and papers and references that were skipped as forbidden."""
+    ids = corpus.select(F.col("candidate_id").cast("string").alias("paper_id")).distinct().withColumn("_in", F.lit(True))
+    no = forbidden.select(F.col("candidate_id").cast("string").alias("paper_id")).distinct().withColumn("_no", F.lit(True))
+    rows = papers.join(ids, "paper_id", "left").join(no, "paper_id", "left")
+    size = lambda c: F.coalesce(F.sum(F.when(F.col("_in"), F.size(F.filter(c, lambda x: F.trim(x) != "")))), F.lit(0))
+    flags = F.col("_in") & F.col("_no")
+    own = rows.agg(
+        F.count_if("_in").alias("papers_in_corpus"), F.count_if(F.col("_in").isNull()).alias("papers_outside_corpus"), size("authors").alias("author_links"), size("fields").alias("field_links"),
+        F.count_if(flags).alias("forbidden_papers"), F.coalesce(F.sum(F.when(flags, F.size("references"))), F.lit(0)).alias("skipped_references"),
+    )
+    refs = rows.where("_in and _no is null").select("paper_id", F.explode("references").alias("t"))
+    cited = refs.join(ids.select(F.col("paper_id").alias("t")), "t", "left_semi").where("t <> paper_id").agg(F.count("*").alias("citations"))
+    return own.crossJoin(F.broadcast(cited))  # one row each
+
+
 def lexical_links(df: DataFrame, item: str, text: str, limit: int = 10, stop_words: list[str] | None = None) -> DataFrame:
     """The ``limit`` most frequent terms of every text as nodes: (candidate_id, node_id, tf, rank), by -tf, then term."""
     rows = df.select(F.col(item).alias("candidate_id"), F.explode(terms(F.col(text), stop_words)).alias("term")).groupBy("candidate_id", "term").agg(F.count("*").alias("tf"))
@@ -130,6 +147,6 @@ def shortest_paths(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
 
 
 def names_by_id(ids: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes' types and texts; ids without a node get the id as text and the type ``unknown``."""
+    """Nodes' types and texts; ids without a node get the id as text and the type ``graph_node``."""
     out = ids.join(nodes.select("node_id", F.col("node_type").alias("_k"), F.col("text").alias("_t")), "node_id", "left")
-    return out.withColumn("node_type", F.coalesce("_k", F.lit("unknown"))).withColumn("text", F.coalesce(F.nullif("_t", F.lit("")), F.col("node_id"))).drop("_k", "_t")
+    return out.withColumn("node_type", F.coalesce("_k", F.lit("graph_node"))).withColumn("text", F.coalesce(F.nullif("_t", F.lit("")), F.col("node_id"))).drop("_k", "_t")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, l2, unit_interval
 from ..plans.stage import stage
 from .expand import Expansion, graph_scores
+from .graph import names_by_id
 from .semantic import DIGITS, allowed_pairs, top
 
 
@@ -83,3 +84,40 @@ def graph_features(chosen: DataFrame, paths: DataFrame) -> DataFrame:
     p = paths.groupBy(key).agg(F.count("*").alias("path_count"), F.max(F.when(F.col("path_rank") == 1, F.size("path") - 1)).alias("best_path_hops"))
     out = chosen.select(*key).join(n, key, "left").join(m, key, "left").join(p, key, "left")
     return out.na.fill(0, ["node_count", "edge_count", "path_count", "best_path_hops"])
+
+
+def evidence(chosen: DataFrame, paths: DataFrame, nodes: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(query_id, candidate_id, evidence_nodes, evidence_edges, paths) of chosen candidates, for those to read them.
+
+    Nodes come in the order of first appearance, with type and text: that of the graph (an unknown node is a
+    ``graph_node`` named by its id), for candidates the title, or the text where there is none.  Edges count once.  A
+    candidate without a path has empty lists.  Only the few nodes of chosen paths are looked up.
+    """
+    key, mark = ["query_id", "candidate_id"], "candidate::"
+    at = evidence_nodes(chosen, paths)
+    own = corpus.select(F.concat(F.lit(mark), "candidate_id").alias("node_id"), F.coalesce(F.nullif(F.trim("title"), F.lit("")), "text", F.lit("")).alias("_own"))
+    named = names_by_id(at, nodes).join(own, "node_id", "left")
+    is_candidate = F.startswith("node_id", F.lit(mark))
+    named = named.withColumn("node_type", F.when(is_candidate, F.lit("candidate")).otherwise(F.col("node_type"))).withColumn("text", F.when(is_candidate, F.coalesce("_own", "node_id")).otherwise(F.col("text")))
+    listed = lambda df, what, out: df.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct(*what).alias("x")))), lambda r: r["x"]).alias(out))
+    n = listed(named, ["node_id", "node_type", "text"], "evidence_nodes")
+    m = listed(evidence_edges(chosen, paths), ["source", "relation", "target"], "evidence_edges")
+    p = paths.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("path_rank", "path"))), lambda r: r["path"]).alias("paths"))
+    out = chosen.select(*key).join(n, key, "left").join(m, key, "left").join(p, key, "left")
+    empty = {"evidence_nodes": "array<struct<node_id: string, node_type: string, text: string>>", "evidence_edges": "array<struct<source: string, relation: string, target: string>>", "paths": "array<array<string>>"}
+    return out.withColumns({c: F.coalesce(c, F.from_json(F.lit("[]"), t)) for c, t in empty.items()})
+
+
+def retrieval_stats(pooled: DataFrame, ranked: DataFrame, emitted: DataFrame | None = None, positives: DataFrame | None = None) -> DataFrame:
+    """One row: queries, mean sizes of the pool and of its parts, paths found, and (given positives) mean recall of the
+    pool and of the ranked candidates."""
+    counts = pool_counts(pooled, positives)
+    means = [F.count("*").alias("queries"), *(F.avg(c).alias(f"mean_{c}") for c in counts.columns if c != "query_id")]
+    out = counts.agg(*means)
+    if emitted is not None:
+        out = out.crossJoin(F.broadcast(emitted.agg(F.count("*").alias("paths"))))  # one row each
+    if positives is not None:
+        total = positives.select("query_id", "candidate_id").distinct()
+        got = total.join(ranked.select("query_id", "candidate_id", F.lit(1).alias("_i")), ["query_id", "candidate_id"], "left").groupBy("query_id").agg((F.count("_i") / F.count("*")).alias("r"))
+        out = out.crossJoin(F.broadcast(got.agg(F.avg("r").alias("mean_ranked_recall"))))
+    return out

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans import files
+
 PROTOCOLS = {"development": ("train", "validation"), "test": ("test",)}
 
 
@@ -48,11 +48,11 @@ def require_positives(queries: DataFrame, positives: DataFrame) -> None:
         raise ValueError(f"query without a positive: {bare[0][0]}")
 
 
-def enrichment_gate(paths: list[str], required: bool) -> list[str]:
+def enrichment_gate(spark: SparkSession, paths: list[str], required: bool) -> list[str]:
     """Enrichment files that are there; a missing one is an error only where enrichment is required."""
-    there = [p for p in paths if os.path.exists(p.removeprefix("file://"))]
+    there = [p for p in paths if files.exists(spark, p)]
     if required and len(there) < len(paths):
-        raise ValueError(f"missing enrichment: {sorted(set(paths) - set(there))}")
+        raise FileNotFoundError(f"missing enrichment: {sorted(set(paths) - set(there))}")
     return there
 
 
@@ -65,3 +65,23 @@ def same_queries(have: DataFrame, want: DataFrame) -> None:
     odd = have.select("query_id").join(want.select("query_id"), "query_id", "left_anti").unionByName(want.select("query_id").join(have.select("query_id"), "query_id", "left_anti")).limit(1).collect()
     if odd:
         raise ValueError(f"query on one side only: {odd[0][0]}")
+
+
+def same_order(have: DataFrame, want: DataFrame, at: str = "seq") -> None:
+    """The same query ids at the same places, else an error that names the first place that differs."""
+    by = Window.orderBy("_a")  # a list of query ids: one row each
+    place = lambda df, c: df.select(F.col(at).alias("_a"), F.col("query_id").alias(c)).withColumn("_n", F.row_number().over(by)).drop("_a")
+    odd = place(have, "h").join(place(want, "w"), "_n", "full_outer").where("not (h <=> w)").orderBy("_n").limit(1).collect()
+    if odd:
+        raise ValueError(f"place {odd[0]['_n']}: {odd[0]['h']} instead of {odd[0]['w']}")
+
+
+def project(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of given queries (query_id, seq), with their places; a repeated or a missing query is an error."""
+    n, distinct = ids.agg(F.count("*"), F.count_distinct("query_id")).first()
+    if n != distinct:
+        raise ValueError("a query is named twice")
+    missing = ids.join(rows.select("query_id").distinct(), "query_id", "left_anti").limit(1).collect()
+    if missing:
+        raise ValueError(f"no result for query {missing[0]['query_id']}")
+    return rows.join(ids.select("query_id", "seq"), "query_id")

@@ -19,12 +19,12 @@ QUESTION = "id string, _id string, question string, answer string, type string,
 PARAGRAPH = "paragraph_id string, title string, text string, sources array<string>"
 CANDIDATE = "candidate_id string, text string, embedding_text string, metadata string, sources array<string>"
 EXTRACTION = "id string, title string, entities array<struct<entity_name: string, entity_type: string, description: string>>, relationships array<struct<src_id: string, tgt_id: string, keywords: string, description: string>>"
-CANDIDATE_RESULT = "candidate_id string, text string, semantic_score double, graph_score double, rag_score double, paths array<array<string>>, graph_features map<string, double>, rank int, neural_score double, neural_rank int, intermediate_representation array<float>, llm_score double, llm_rank int"
+CANDIDATE_RESULT = "candidate_id string, text string, metadata string, evidence_nodes array<struct<node_id: string, node_type: string, text: string>>, evidence_edges array<struct<source: string, relation: string, target: string>>, semantic_score double, graph_score double, rag_score double, paths array<array<string>>, graph_features map<string, double>, rank int, neural_score double, neural_rank int, intermediate_representation array<float>, llm_score double, llm_rank int"
 
 
 def _result_schema() -> T.StructType:
     one = T.StructType.fromDDL(CANDIDATE_RESULT)
-    fields = T.StructType.fromDDL("schema_version int, query_id string, query_text string, stage string, positive_ids array<string>")
+    fields = T.StructType.fromDDL("schema_version int, query_id string, query_text string, stage string, metadata string, positive_ids array<string>")
     return fields.add("candidates", T.ArrayType(one))
 
 
@@ -56,13 +56,18 @@ def results(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(spark, path, _result_schema())
 
 
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    """Candidate records as they are, with the metadata as JSON text."""
+    return json_lines(spark, path, CANDIDATE)
+
+
 def questions(spark: SparkSession, path: str) -> DataFrame:
     rows = json_array(spark, path, QUESTION)
     return rows.withColumn("id", F.coalesce("id", "_id")).drop("_id").withColumn("created_at", F.lit(None).cast("timestamp"))
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """candidate_id, title, text, embedding_text, sources of either corpus format, told by its first record.
+    """candidate_id, title, text, embedding_text, metadata (JSON text), sources of either corpus format, told by its first record.
 
     Duplicate ids and an empty file are errors.
     """
@@ -70,9 +75,9 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
     if not head:
         raise ValueError(f"empty corpus: {path}")
     if head[0]["candidate_id"] is not None:
-        rows = json_lines(spark, path, CANDIDATE).select("candidate_id", F.lit(None).cast("string").alias("title"), "text", F.coalesce("embedding_text", "text", F.lit("")).alias("embedding_text"), "sources")
+        rows = candidates(spark, path).select("candidate_id", F.get_json_object("metadata", "$.title").alias("title"), "text", F.coalesce("embedding_text", "text", F.lit("")).alias("embedding_text"), "metadata", "sources")
     elif head[0]["paragraph_id"] is not None:
-        rows = json_lines(spark, path, PARAGRAPH).select(F.col("paragraph_id").alias("candidate_id"), "title", "text", strip(F.concat_ws("\n", "title", "text")).alias("embedding_text"), "sources")
+        rows = json_lines(spark, path, PARAGRAPH).select(F.col("paragraph_id").alias("candidate_id"), "title", "text", strip(F.concat_ws("\n", "title", "text")).alias("embedding_text"), F.to_json(F.struct("title")).alias("metadata"), "sources")
     else:
         raise ValueError(f"neither candidate_id nor paragraph_id: {path}")
     return require_unique(rows, "candidate_id", "candidate id")
@@ -217,7 +222,7 @@ def enrichment(spark: SparkSession, paths: list[str]) -> DataFrame:
         part = _papers(spark, path, i)
         last = part.groupBy("id").agg(F.max_by("paper", "order").alias("paper"), F.max("order").alias("order"))
         rows = last if rows is None else rows.unionByName(last)
-    names = {"authors": ("authors", ["authorId", "author_id", "id", "name"]), "fields": ("fields", ["id", "name"]), "references": ("references", ["paper_id", "paperId", "_id", "id"])}
+    names = {"authors": ("authors", ["authorId", "author_id", "id", "name"]), "fields": ("fields", ["field_id", "topic_id", "id", "name"]), "references": ("references", ["paperId", "paper_id", "corpus_id", "id"])}
     other = {"fields": ("fieldsOfStudy", "topics"), "references": ("outbound_citations",)}
     cols = []
     for out, (key, ids) in names.items():

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
-import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,21 +10,6 @@ from pyspark.sql import functions as F
 from .resume import remaining, shard
 
 
-def write_json(path: str, value: dict) -> None:
-    """A small JSON file that appears whole or not at all."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with tempfile.NamedTemporaryFile("w", dir=os.path.dirname(path) or ".", delete=False, encoding="utf-8") as f:
-        json.dump(value, f, ensure_ascii=False, indent=2, sort_keys=True)
-    os.replace(f.name, path)
-
-
-def read_json(path: str) -> dict | None:
-    if not os.path.exists(path):
-        return None
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
-
-
 def as_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -52,6 +34,8 @@ def nested_results(ranked: DataFrame, queries: DataFrame, positives: DataFrame,
     lists = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("candidates"))  # a top-k: bounded
     pos = positives.groupBy("query_id").agg(F.array_sort(F.collect_set("candidate_id")).alias("positive_ids"))
     out = queries.select("query_id", F.col("text").alias("query_text")).join(lists, "query_id", "left").join(pos, "query_id", "left")
+    none = F.array().cast(lists.schema["candidates"].dataType)
+    out = out.withColumn("candidates", F.coalesce("candidates", none))
     return out.withColumn("positive_ids", F.coalesce("positive_ids", F.array().cast("array<string>"))).withColumn("stage", F.lit(stage)).withColumn("schema_version", F.lit(1))
 
 

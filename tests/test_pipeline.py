@@ -7,8 +7,10 @@ from compare import same
 from fathomline import catalog
 from fathomline.cli import main
 from fathomline.operators.expand import Expansion
+from fathomline.plans import files
 from fathomline.plans.pipeline import Config, Pipeline
 from fathomline.plans.retrieve import Retrieval
+from fathomline.sources import readers
 from fathomline.sources.derived import inputs
 from fathomline.streaming.front import serve
 
@@ -50,6 +52,49 @@ def test_command_line(spark, tmp_path):
         Config.load(str(tmp_path / "bad.yaml"))
 
 
+def test_resumed_retrieval_and_trained_ranker(spark, tmp_path, monkeypatch):
+    """Shards that are complete aren't done again; a trained model is used, with its representation, by side."""
+    c = config(tmp_path, shards=3, model={"kind": "mlp", "hidden": 8}, training={"epochs": 2, "batch": 4, "workers": 1, "rate": 0.001}, split={"seed": 13, "fraction": 0.5})
+    p = Pipeline(spark, c)
+    for s in ("corpus", "vectors", "graph"):
+        p.run(s)
+    found, asked = p._found, []
+
+    def cut_off(q):
+        asked.append(1)
+        if len(asked) == 3:
+            raise RuntimeError("lost")
+        return found(q)
+
+    monkeypatch.setattr(p, "_found", cut_off)
+    with pytest.raises(RuntimeError):
+        p.run("retrieval")
+    p.run("retrieval")
+    assert len(asked) == 4
+    whole = Pipeline(spark, config(tmp_path / "whole"))
+    for s in ("corpus", "vectors", "graph", "retrieval"):
+        whole.run(s)
+    same = lambda x: {tuple(r) for r in x.read("retrieval").drop("shard").collect()}
+    assert same(p) == same(whole)
+    facts = files.read_json(spark, p.path("retrieval.manifest.json"))
+    assert facts["queries"] == 12 and facts["mean_pool_size"] > 0 and 0 <= facts["mean_ranked_recall"] <= facts["mean_pool_recall"] <= 1 and facts["paths"] > 0
+    p.ranker_dataset()
+    assert p.fit()["last_epoch"] == 2
+    p.run("neural", split="validation")
+    p.run("neural", split="train")
+    assert files.read_json(spark, p.path("neural.manifest.json"))["parameters"] == "checkpoints"
+    sides = {s: {r[0] for r in p.read(n).select("query_id").distinct().collect()} for s, n in (("validation", "neural"), ("train", "neural.train"))}
+    assert not sides["validation"] & sides["train"] and len(sides["validation"] | sides["train"]) == 12
+    assert len(p.read("neural").first()["representation"]) == 8
+    assert p.split_of("retrieval", "train").select("query_id").distinct().count() == len(sides["train"])
+    p.run("llm", split="train")
+    assert set(p.evaluate("train")) == {"retrieval", "neural", "llm"} and set(p.evaluate("train", "neural")) == {"neural"}
+    p.export("neural", str(tmp_path / "n"), with_evidence=True)
+    rows = readers.results(spark, str(tmp_path / "n")).collect()
+    nodes = [n for r in rows for c in r["candidates"] for n in c["evidence_nodes"]]
+    assert nodes and all(n["text"] for n in nodes) and {"candidate"} < {n["node_type"] for n in nodes}
+
+
 def test_streamed_queries_are_answered_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     line = lambda i, t: json.dumps({"query_id": i, "text": t, "seeds": [], "excluded": []})

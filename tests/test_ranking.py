@@ -293,10 +293,15 @@ def test_protocol(spark, tmp_path):
             protocol.select(*bad, parts)
     protocol.require_positives(part("a"), part("a"))
     protocol.same_queries(part("a", "b"), part("b", "a"))
-    for f, args in ((protocol.require_positives, (part("a", "b"), part("a"))), (protocol.same_queries, (part("a"), part("b"))), (protocol.same_queries, (part("a", "a"), part("a"))), (protocol.enrichment_gate, (["/nowhere"], True))):
+    for f, args in ((protocol.require_positives, (part("a", "b"), part("a"))), (protocol.same_queries, (part("a"), part("b"))), (protocol.same_queries, (part("a", "a"), part("a"))), (protocol.enrichment_gate, (spark, ["/nowhere"], True))):
+        with pytest.raises((ValueError, FileNotFoundError)):
+            f(*args)
+    protocol.same_order(part("a", "b"), part("a", "b"))
+    assert [r["query_id"] for r in protocol.project(part("a", "b", "c"), part("c", "a")).collect()].sort() is None
+    for f, args in ((protocol.same_order, (part("a", "b"), part("b", "a"))), (protocol.same_order, (part("a", "b"), part("a"))), (protocol.project, (part("a"), part("b"))), (protocol.project, (part("a"), part("a", "a")))):
         with pytest.raises(ValueError):
             f(*args)
-    assert protocol.enrichment_gate(["/nowhere"], False) == []
+    assert protocol.enrichment_gate(spark, ["/nowhere"], False) == []
 
 
 def test_epochs_and_dataset(spark, tmp_path):
