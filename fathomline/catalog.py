@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import queries_corpus, queries_ranking, queries_skew
+from .operators import queries_corpus, queries_formats, queries_ranking, queries_skew
 
-_PARTS = [queries_skew, queries_ranking, queries_corpus]
+_PARTS = [queries_skew, queries_ranking, queries_corpus, queries_formats]
 
 
 def queries() -> dict:

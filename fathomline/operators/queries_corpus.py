@@ -324,7 +324,7 @@ SQL = {
     "macro_metrics": f"WITH {_QRELS}, {_RANKING}, {metrics_sql()} SELECT count(*) AS queries, {_rounded(_EVERY, 'avg({})')} FROM each_",
     "train_metrics": f"WITH {_QRELS}, {_RANKING}, {metrics_sql(retrieved_only=True)} SELECT count(*) AS queries, {_rounded(_EVERY, 'avg({})')} FROM each_",
     "stage_metrics": f"""WITH {_QRELS}, {_RANKING}, gb AS (SELECT query_id, candidate_id, max(graph_score) AS score FROM generated_candidates WHERE graph_score IS NOT NULL AND CAST(graph_score AS VARCHAR) <> 'nan' GROUP BY ALL),
-        granking AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS rank FROM gb QUALIFY rank <= 100), {metrics_sql(ks=[5, 10])}, {metrics_sql('granking', ks=[5], p='g')} {_LONG}""",
+        granking AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS rank FROM gb), {metrics_sql(ks=[5, 10])}, {metrics_sql('granking', ks=[5], p='g')} {_LONG}""",
     "listwise_loss": f"""{_LABELS}, m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM lab)
         SELECT query_id, round(any_value(m) + ln(sum(exp(score - m))) - sum(score * label) / sum(label), 9) AS loss FROM m GROUP BY query_id HAVING sum(label) > 0""",
     "pointwise_loss": f"{_LABELS} SELECT round(avg(2.0::DOUBLE * label * ({_SOFT.format('(-score)')}) + (1 - label) * ({_SOFT.format('score')})), 9) AS loss, count(*) AS rows FROM lab",
