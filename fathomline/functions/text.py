@@ -91,10 +91,11 @@ def context(c: Column, start: Column, end: Column, around: int = 80) -> Column:
 
 
 def triplets(c: Column) -> Column:
-    """Relations of a generated text: structs of subject, relation and object."""
+    """Relations of a generated text: structs of subject, relation and object, none of them blank."""
     parts = [F.regexp_extract_all(c, F.lit(TRIPLET), F.lit(i)) for i in (1, 2, 3)]
     zipped = F.arrays_zip(*(p.alias(n) for p, n in zip(parts, ("s", "r", "o"))))
-    return F.transform(zipped, lambda t: F.struct(F.trim(t["s"]).alias("subject"), F.trim(t["r"]).alias("relation"), F.trim(t["o"]).alias("object")))
+    every = F.transform(zipped, lambda t: F.struct(F.trim(t["s"]).alias("subject"), F.trim(t["r"]).alias("relation"), F.trim(t["o"]).alias("object")))
+    return F.filter(every, lambda t: (t["subject"] != "") & (t["relation"] != "") & (t["object"] != ""))
 
 
 def parse_reply(c: Column, schema: str) -> Column:

@@ -210,7 +210,7 @@ def context_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def generated_triplets(spark: SparkSession, d: str) -> DataFrame:
     rows = derived.kg_records(spark, d).select("id", F.explode("relationships").alias("r")).groupBy("id").agg(
-        F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<triplet> "), "r.src_id", F.lit(" <subj> "), "r.tgt_id", F.lit(" <obj> "), "r.keywords"))), " ").alias("text")
+        F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<triplet> "), "r.src_id", F.lit(" <subj> "), "r.keywords", F.lit(" <obj> "), "r.tgt_id"))), " ").alias("text")
     )
     return rows.select("id", F.explode(tx.triplets(F.col("text"))).alias("t")).select("id", "t.subject", "t.relation", "t.object")
 
