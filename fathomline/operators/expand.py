@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.skew import join_salted
 from ..plans.stage import stage
 from .graph import Graph, capped_edges, capped_links
 
@@ -48,54 +49,80 @@ def _frontier(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def start(found: DataFrame, graph: Graph) -> DataFrame:
-    """Best path to each node that a seed is linked to (query_id, node, score, path, relations)."""
+    """Best path to each node that a seed is linked to (query_id, node, score, path, relations).
+
+    ``found`` is a stage.  A candidate that is a seed of very many queries is spread over all tasks.
+    """
     by = Window.partitionBy("candidate_id").orderBy(F.desc("weight"), "node_id", "relation")
-    links = graph.links.withColumn("place", F.row_number().over(by))
-    c = found.where("kind = 'candidate'").join(links, F.col("target") == F.col("candidate_id"))
+    links = graph.links.withColumn("place", F.row_number().over(by)).withColumnRenamed("candidate_id", "target")
+    c = join_salted(links, found.where("kind = 'candidate'"), "target", "query_id")
     c = c.select("query_id", F.col("node_id").alias("node"), (F.col("score") * _weight("weight")).alias("score"), F.array(candidate_node(F.col("target")), "node_id").alias("path"), F.array("relation").alias("relations"), F.col("pos").alias("o1"), F.col("place").alias("o2"))
     n = found.where("kind = 'node'").select("query_id", F.col("target").alias("node"), "score", F.array("target").alias("path"), F.array().cast("array<string>").alias("relations"), F.col("pos").alias("o1"), F.lit(0).alias("o2"))
     return _best(c.unionByName(n))
 
 
-def frontiers(found: DataFrame, graph: Graph, e: Expansion) -> DataFrame:
+def _steps(front: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges of the nodes that are expanded.  A node that is in most frontiers is spread over all tasks."""
+    ways = edges.select(F.col("source").alias("node"), F.col("target").alias("_n"), F.col("relation").alias("_r"), "weight", "place")
+    return join_salted(ways, front.select("query_id", "node", "score", "f"), "node", "query_id")
+
+
+def _level(front: DataFrame, best: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query_id, node, _s, f, _r): best new score of each node that improves, all steps seeing the scores as they were."""
+    steps = _steps(front, edges).select("query_id", F.col("_n").alias("node"), (F.col("score") * F.lit(STEP) * _weight("weight")).alias("score"), "f", "place", "_r")
+    # Scores first, by partial aggregation; the step that it came from is looked up in the same pass.
+    first = F.max_by(F.struct("f", "_r"), F.struct("score", -F.col("f"), -F.col("place")))
+    new = steps.groupBy("query_id", "node").agg(F.max("score").alias("_s"), first.alias("_b")).select("query_id", "node", "_s", "_b.*")
+    return new.join(best, ["query_id", "node"], "left").where(F.col("score").isNull() | (F.col("_s") > F.col("score"))).select("query_id", "node", "_s", "f", "_r")
+
+
+def frontiers(found: DataFrame, graph: Graph, e: Expansion, in_order: bool = False) -> DataFrame:
     """Nodes that are expanded at each depth, with the best path to each (query_id, node, score, path, relations, depth).
 
-    Level by level: every hop sees the paths as they were when it began.  A query has at most ``nodes_per_hop`` rows a
-    depth, so this is the small table from which scores and, for chosen candidates only, paths are made.
+    Level by level: every hop sees the paths as they were when it began.  ``in_order``: a path that was improved earlier
+    in the same hop is already used by later nodes; a query's hop is then one task's work, of at most ``nodes_per_hop``
+    nodes and ``neighbours`` edges each.  A query has at most ``nodes_per_hop`` rows a depth, so this is the small table
+    from which scores and, for chosen candidates only, paths are made.
     """
     edges = stage(capped_edges(graph.edges, e.neighbours), "capped_edges")
     first = stage(start(found, graph), "best")  # each hop's table is read several times by the next: it is written once
-    front = _frontier(first, e.nodes_per_hop)
+    front = stage(_frontier(first, e.nodes_per_hop), "frontier")
     best, out, visited = first.select("query_id", "node", "score"), front.withColumn("depth", F.lit(0)), front.select("query_id", "node")
     for d in range(e.hops):
-        # A step carries the place of the node it comes from, not its path: only nodes that are expanded get one.
-        steps = front.select("query_id", "node", "score", "f").join(edges.select(F.col("source").alias("node"), F.col("target").alias("_n"), F.col("relation").alias("_r"), "weight", "place"), "node")
-        steps = steps.select("query_id", F.col("_n").alias("node"), (F.col("score") * F.lit(STEP) * _weight("weight")).alias("score"), "f", "place", "_r")
-        by = Window.partitionBy("query_id", "node").orderBy(F.desc("score"), "f", "place")
-        new = steps.withColumn("_first", F.row_number().over(by)).where("_first = 1").select("query_id", "node", F.col("score").alias("_s"), "f", "_r")
-        improved = F.col("_s").isNotNull() & (F.col("score").isNull() | (F.col("_s") > F.col("score")))
-        both = stage(best.join(new, ["query_id", "node"], "full_outer").withColumn("_up", improved), "best")
-        best = both.select("query_id", "node", F.when(F.col("_up"), F.col("_s")).otherwise(F.col("score")).alias("score"))
-        top = _frontier(both.where("_up").select("query_id", "node", F.col("_s").alias("score"), F.col("f").alias("_from"), "_r").join(visited, ["query_id", "node"], "left_anti"), e.nodes_per_hop)
-        before = front.select("query_id", F.col("f").alias("_from"), "path", "relations")
-        front = top.join(before, ["query_id", "_from"]).select("query_id", "node", "score", F.concat("path", F.array("node")).alias("path"), F.concat("relations", F.array("_r")).alias("relations"), "f")
-        front = stage(front, "frontier")
+        if in_order:
+            have = best.withColumnRenamed("node", "_n").withColumnRenamed("score", "have")
+            steps = _steps(front, edges).select("query_id", "f", "_n", "_r", "weight", "place").join(have, ["query_id", "_n"], "left")
+            up = front.select("query_id", "f", "node", "score", "path", "relations").groupBy("query_id").cogroup(steps.groupBy("query_id")).applyInPandas(_hop, _UP)
+        else:
+            # A step carries the place of the node it comes from, not its path: only nodes that are expanded get one.
+            up = _level(front, best, edges)
+        up = stage(up, "improved")
+        score = F.coalesce("_s", "score").alias("score")
+        best = stage(best.join(up.select("query_id", "node", "_s"), ["query_id", "node"], "full_outer").select("query_id", "node", score), "best") if d + 1 < e.hops else best
+        new = _frontier(up.withColumnRenamed("_s", "score").withColumnRenamed("f", "_from").join(visited, ["query_id", "node"], "left_anti"), e.nodes_per_hop)
+        if not in_order:
+            before = front.select("query_id", F.col("f").alias("_from"), "path", "relations")
+            new = new.join(before, ["query_id", "_from"]).withColumn("path", F.concat("path", F.array("node"))).withColumn("relations", F.concat("relations", F.array("_r")))
+        front = stage(new.select("query_id", "node", "score", "path", "relations", "f"), "frontier")
         visited = visited.unionByName(front.select("query_id", "node"))
         out = out.unionByName(front.withColumn("depth", F.lit(d + 1)))
     return out.drop("f")
 
 
 def emitted(fronts: DataFrame, graph: Graph, e: Expansion) -> DataFrame:
-    """All paths of expanded nodes on to candidates; where only scores are used, the paths are never put together."""
-    links = capped_links(graph.links, e.candidates_per_node)
-    out = fronts.join(links.select(F.col("node_id").alias("node"), "candidate_id", F.col("relation").alias("_r"), "weight"), "node")
+    """All paths of expanded nodes on to candidates; where only scores are used, the paths are never put together.
+
+    ``fronts`` is a stage; a node that is in most frontiers is spread over all tasks.
+    """
+    links = capped_links(graph.links, e.candidates_per_node).select(F.col("node_id").alias("node"), "candidate_id", F.col("relation").alias("_r"), "weight")
+    out = join_salted(links, fronts, "node", "query_id")
     decay = F.element_at(F.array(*(F.lit(math.exp(-DECAY * (d + 1))) for d in range(e.hops + 1))), F.col("depth") + 1)
     score = F.col("score") * decay * _weight("weight")
     return out.select("query_id", "candidate_id", score.alias("score"), F.concat("path", F.array(candidate_node(F.col("candidate_id")))).alias("path"), F.concat("relations", F.array("_r")).alias("relations"))
 
 
-def emissions(found: DataFrame, graph: Graph, e: Expansion) -> DataFrame:
-    return emitted(frontiers(found, graph, e), graph, e)
+def emissions(found: DataFrame, graph: Graph, e: Expansion, in_order: bool = False) -> DataFrame:
+    return emitted(stage(frontiers(found, graph, e, in_order), "frontiers"), graph, e)
 
 
 def best_paths(rows: DataFrame, limit: int) -> DataFrame:
@@ -126,67 +153,26 @@ def graph_scores(rows: DataFrame, aggregation: str, limit: int) -> DataFrame:
 
 # ---- The order-dependent variant --------------------------------------------------------------------------------------
 
-_EGO = "query_id string, kind string, a string, b string, relation string, weight double, o1 long, o2 long"
-
-
-def _walk(e: Expansion):
-    """One query, node after node: a path that was improved earlier in the same hop is already used by later nodes."""
-
-    def run(ego: pd.DataFrame) -> pd.DataFrame:
-        query = ego["query_id"].iloc[0]
-        best: dict[str, tuple[float, tuple, tuple]] = {}
-        first = ego[ego["kind"].isin(["seed", "node"])].sort_values(["o1", "o2"])
-        for kind, a, b, relation, weight in first[["kind", "a", "b", "relation", "weight"]].itertuples(index=False):
-            path = ((f"candidate::{a}", b), (relation,)) if kind == "seed" else ((b,), ())
-            if b not in best or weight > best[b][0]:
-                best[b] = (weight, *path)
-        ways: dict[str, dict[str, list]] = {"edge": {}, "link": {}}
-        for kind in ways:
-            for a, b, relation, weight in ego[ego["kind"] == kind].sort_values("o2")[["a", "b", "relation", "weight"]].itertuples(index=False):
-                ways[kind].setdefault(a, []).append((b, relation, max(0.0, weight)))
-        out, seen, open_ = [], set(), set(best)
-        for depth in range(e.hops + 1):
-            front = sorted(open_ - seen, key=lambda n: (-best[n][0], n))[: e.nodes_per_hop]
-            seen |= set(front)
-            for n in front:
-                score, path, relations = best[n]
-                for c, relation, w in ways["link"].get(n, ()):
-                    out.append((query, c, score * math.exp(-DECAY * (depth + 1)) * w, [*path, f"candidate::{c}"], [*relations, relation]))
-            open_ = set()
-            if depth == e.hops:
-                break
-            for n in front:
-                score, path, relations = best[n]
-                for m, relation, w in ways["edge"].get(n, ()):
-                    s = score * STEP * w
-                    if m not in best or s > best[m][0]:
-                        best[m] = (s, (*path, m), (*relations, relation))
-                        open_.add(m)
-        return pd.DataFrame(out, columns=["query_id", "candidate_id", "score", "path", "relations"])
-
-    return run
+_UP = "query_id string, node string, _s double, f int, path array<string>, relations array<string>"
 
 
-def emissions_in_order(found: DataFrame, graph: Graph, e: Expansion) -> DataFrame:
-    """Paths as a walk finds them that updates best paths in place while it goes through a hop's nodes.
+def _hop(key: tuple, front: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+    """One query, one hop, node after node: a path that was improved earlier in it is already used by later nodes."""
+    state = {n: (s, list(p), list(r)) for n, s, p, r in front[["node", "score", "path", "relations"]].itertuples(index=False)}
+    names = dict(zip(front["f"], front["node"]))
+    best = dict(zip(steps["_n"], steps["have"])) | {n: v[0] for n, v in state.items()}
+    up: dict[str, tuple] = {}
+    for f, m, relation, weight in steps.sort_values(["f", "place"])[["f", "_n", "_r", "weight"]].itertuples(index=False):
+        score, path, relations = state[names[f]]
+        s, have = score * STEP * max(0.0, weight), best.get(m)
+        if have is None or have != have or s > have:
+            best[m] = s
+            up[m] = (s, [*path, m], [*relations, relation])
+            if m in state:
+                state[m] = up[m]
+    return pd.DataFrame([(key[0], n, s, 0, p, r) for n, (s, p, r) in up.items()], columns=["query_id", "node", "_s", "f", "path", "relations"])
 
-    A query's part of the graph, bounded by the caps, is gathered by joins and walked in one task.
-    """
-    links, edges = capped_links(graph.links, e.candidates_per_node), capped_edges(graph.edges, e.neighbours)
-    by = Window.partitionBy("candidate_id").orderBy(F.desc("weight"), "node_id", "relation")
-    assoc = graph.links.withColumn("place", F.row_number().over(by))
-    seed = found.where("kind = 'candidate'").join(assoc, F.col("target") == F.col("candidate_id")).select("query_id", F.lit("seed").alias("kind"), F.col("target").alias("a"), F.col("node_id").alias("b"), "relation", (F.col("score") * _weight("weight")).alias("weight"), F.col("pos").cast("long").alias("o1"), F.col("place").cast("long").alias("o2"))
-    node = found.where("kind = 'node'").select("query_id", F.lit("node").alias("kind"), F.lit(None).cast("string").alias("a"), F.col("target").alias("b"), F.lit(None).cast("string").alias("relation"), F.col("score").alias("weight"), F.col("pos").cast("long").alias("o1"), F.lit(0).cast("long").alias("o2"))
-    starts = seed.unionByName(node)
-    reached = starts.select("query_id", F.col("b").alias("n")).distinct()
-    front, used = reached, None
-    for _ in range(e.hops):
-        step = front.join(edges, F.col("n") == F.col("source")).select("query_id", F.col("source").alias("a"), F.col("target").alias("b"), "relation", "weight", F.col("place").cast("long").alias("o2"))
-        used = step if used is None else used.unionByName(step)
-        front = step.select("query_id", F.col("b").alias("n")).distinct().join(reached, ["query_id", "n"], "left_anti")
-        reached = reached.unionByName(front)
-    out = reached.join(links, F.col("n") == F.col("node_id")).select("query_id", F.lit("link").alias("kind"), F.col("n").alias("a"), F.col("candidate_id").alias("b"), "relation", "weight", F.lit(0).cast("long").alias("o1"), F.col("place").cast("long").alias("o2"))
-    ego = starts.unionByName(out)
-    if used is not None:
-        ego = ego.unionByName(used.withColumn("kind", F.lit("edge")).withColumn("o1", F.lit(0).cast("long")))
-    return ego.groupBy("query_id").applyInPandas(_walk(e), "query_id string, candidate_id string, score double, path array<string>, relations array<string>")
+
+def emissions_in_order(found: DataFrame, graph: Graph, e: Expansion) -> DataFrame:
+    """Paths as a walk finds them that updates best paths in place while it goes through a hop's nodes."""
+    return emissions(found, graph, e, in_order=True)
