@@ -335,33 +335,19 @@ def positive_coverage_by_split(spark: SparkSession, d: str) -> DataFrame:
     return q.join(with_one, "query_id", "left").groupBy("split").agg(F.count("*").alias("queries"), F.count_if(F.col("has").isNull()).alias("without_positive"))
 
 
-def _local_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = cp.instances(table(spark, d, "hotpot_tiny"))
-    return rows.groupBy("query_id", "candidate_id").agg(F.min("pos").alias("pos"), F.min("title").alias("title"), F.min("text").alias("text"))
-
-
 def local_graph_titles(spark: SparkSession, d: str) -> DataFrame:
     """Each question's graph where titles stand in for missing records."""
-    return local.local_graph(_local_rows(spark, d), None, lexical=False)[1]
+    return local.local_graph(local.project_rows(spark, d)[0], None, lexical=False)[1]
 
 
 def local_graph_records(spark: SparkSession, d: str) -> DataFrame:
     """Each question's graph of records made by rule from its paragraphs: mentions only."""
-    rows = stage(_local_rows(spark, d), "rows")
+    rows, _ = local.project_rows(spark, d)
     once = rows.groupBy(tx.normalize_entity(F.col("title")).alias("t")).agg(F.min_by(F.struct("title", "text"), F.struct("candidate_id", "query_id")).alias("r")).select("t", "r.*")
     made = extract.records(extract.by_rule(once, "t", "title", "text"))
     return local.local_graph(rows, made)[1].where("relation = 'mentions'").groupBy("query_id").agg(F.count("*").alias("mentions"))
 
 
-def local_retriever_reference(spark: SparkSession, d: str) -> DataFrame:
-    """Ranking by paths from the nodes closest to each question."""
-    rows = stage(_local_rows(spark, d), "rows")
-    asked = table(spark, d, "hotpot_tiny").where("id is not null").groupBy(F.col("id").alias("query_id")).agg(F.min_by("question", F.struct("created_at", "question")).alias("text"))
-    g = local.local_graph(rows, None)
-    ranked, _ = local.local_retriever(rows, asked, (stage(g[0], "nodes"), stage(g[1], "edges")))
-    return ranked.select("query_id", "candidate_id", "rank", F.round("score", 6).alias("score"))
-
-
 def _ranker_rows(spark: SparkSession, d: str) -> DataFrame:
     """Seven numbers a candidate; the score is a multiple of 1/1024, so that single precision keeps it."""
     r = derived.ranking(spark, d).withColumn("s", F.floor(F.col("score") * 1024) / 1024)
@@ -418,7 +404,7 @@ QUERIES = {
         read_json_array, read_results, read_corpus_v2, read_corpus_v1, read_candidates, read_beir_queries, read_beir_qrels, read_trec_qrels, read_clicks, read_paper_metadata, read_enrichment, read_extractions,
         merge_extraction_shards, read_beir_corpus, corpus_write_digest, append_resume, resumed_shards, graph_store_counts, id_prefixes, payload_identifiers, context_windows, generated_triplets, canonical_keys,
         parsed_replies, text_fallbacks, kg_by_title, node_names, undirected_edges, citation_build_counts, strict_lookup, split_projection, llm_cache_misses, pool_recall, retrieval_means, pool_positives, protocol_splits,
-        limited_instances, forbidden_set, positive_coverage_by_split, local_graph_titles, local_graph_records, local_retriever_reference, ranker_dataset, ranker_inference, dense_places,
+        limited_instances, forbidden_set, positive_coverage_by_split, local_graph_titles, local_graph_records, ranker_dataset, ranker_inference, dense_places,
     )
 }
 SQL = {

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import replace
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +21,6 @@ from .semantic import search, search_declared, top
 
 R = Retrieval()
 E = R.expansion
-#: The reference's defaults; the queries named *_reference take these, those beside their SQL take its smaller values.
-REFERENCE = Retrieval(semantic_k=500, seeds=SeedRules.of(semantic_k=20), expansion=expand.Expansion(), top_k=100)
-REFERENCE_LOCAL_SEEDS = 8
 
 
 # ---- Search -------------------------------------------------------------------------------------------------------
@@ -89,7 +85,7 @@ def _expanded(hops: int, r: Retrieval = R):
     return query
 
 
-def graph_expand_exact(spark: SparkSession, d: str, r: Retrieval = REFERENCE) -> DataFrame:
+def graph_expand_exact(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
     f = over(spark, d, replace(r, in_order=True))
     return f.paths().select("query_id", "candidate_id", "path_rank", F.round("score", 9).alias("score"), F.array_join("path", "|").alias("path"))
 
@@ -150,7 +146,7 @@ def pointwise_rerank_zero_head(spark: SparkSession, d: str, r: Retrieval = R) ->
     return out.select("query_id", "candidate_id", F.round("neural_score", 7).alias("neural_score"), "neural_rank")
 
 
-def set_transformer_rerank(spark: SparkSession, d: str, r: Retrieval = REFERENCE) -> DataFrame:
+def set_transformer_rerank(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
     model = features.SetTransformer(4 * DIM + 7)
     return features.score_sets(_full(*_chosen(spark, d, r)), model, 10, r.top_k)
 
@@ -171,11 +167,11 @@ def llm_partial_response_merge(spark: SparkSession, d: str, r: Retrieval = R) ->
     return rerank.rerank(f.ranked, f.inputs.queries, f.inputs.corpus, _partial, "partial", 10)[0]
 
 
-def instance_local_rank(spark: SparkSession, d: str, seeds: int | None = None) -> DataFrame:
-    """Candidates of each question among themselves: cosine, and the best seed by shared frequent terms."""
-    from ..plans.local import SEEDS, local_rank
+def instance_local_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of each question among themselves: cosine, and paths from the terms closest to the question."""
+    from ..plans.local import local_rank
 
-    return local_rank(spark, d, seeds or SEEDS).select("query_id", "candidate_id", "rank", F.round("score", 7).alias("score"))
+    return local_rank(spark, d).select("query_id", "candidate_id", "rank", F.round("score", 7).alias("score"))
 
 
 # ---- SQL ----------------------------------------------------------------------------------------------------------
@@ -293,17 +289,21 @@ _VECTORS = """WITH v AS (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS e
     s AS (SELECT q.id AS query_id, c.id AS candidate_id, round(list_dot_product(q.e, c.e), 6) AS score FROM u q, u c WHERE q.id::BIGINT % 50 = 0)"""
 _TOP20 = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS rank FROM {} QUALIFY rank <= 20"
 _LOCAL = f"""WITH o AS (SELECT * FROM hotpot_tiny WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at NULLS FIRST, question NULLS FIRST) = 1),
-    u AS (SELECT id AS query_id, context.title[i + 1] AS title, {strip_sql("array_to_string(context.sentences[i + 1], chr(10))")} AS text FROM (SELECT *, unnest(range(least(len(context.title), len(context.sentences)))) AS i FROM o)),
-    r AS (SELECT query_id, sha1({strip_sql('title')} || chr(10) || text) AS candidate_id, min(title) AS title, min(text) AS text FROM u GROUP BY ALL),
-    x AS (SELECT candidate_id AS id, min(title || chr(10) || text) AS text FROM r GROUP BY candidate_id), {vectors_sql('qv', 'SELECT id, question AS text FROM o')}, {vectors_sql('cv', 'SELECT id, text FROM x')},
+    u AS (SELECT id AS query_id, i AS pos, context.title[i + 1] AS title, {strip_sql("array_to_string(context.sentences[i + 1], chr(10))")} AS text FROM (SELECT *, unnest(range(least(len(context.title), len(context.sentences)))) AS i FROM o)),
+    r AS (SELECT query_id, sha1({strip_sql('title')} || chr(10) || text) AS candidate_id, min(pos) AS pos, min(text) AS text FROM u GROUP BY ALL),
+    x AS (SELECT candidate_id AS id, min(text) AS text FROM r GROUP BY candidate_id), {vectors_sql('qv', 'SELECT id, question AS text FROM o')}, {vectors_sql('cv', 'SELECT id, text FROM x')},
     dots AS (SELECT r.query_id, r.candidate_id, round(coalesce(sum(q.x * c.x), 0), 6) AS score FROM r LEFT JOIN qv q ON q.id = r.query_id LEFT JOIN cv c ON c.id = r.candidate_id AND c.b = q.b GROUP BY ALL),
     sc AS (SELECT query_id, candidate_id, {_UNIT} AS s FROM dots),
-    sd AS (SELECT query_id, candidate_id AS seed, s AS g FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, candidate_id) <= 3),
     tm AS (SELECT id, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9''-]{{3,}}'))) AS term FROM x),
-    tf AS (SELECT id, term, count(*) AS n FROM tm WHERE term NOT IN ({', '.join("'" + w + "'" for w in STOP_WORDS)}) GROUP BY ALL), tl AS (SELECT id, term FROM tf QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, term) <= 10),
-    nb AS (SELECT DISTINCT a.id AS a, b.id AS b FROM tl a JOIN tl b USING (term)),
-    g AS (SELECT sc.query_id, sc.candidate_id, max(CASE WHEN seed = candidate_id THEN g WHEN b IS NOT NULL THEN g * exp(-1::DOUBLE) END) AS g FROM sc JOIN sd USING (query_id) LEFT JOIN nb ON a = seed AND b = candidate_id GROUP BY ALL),
-    f AS (SELECT query_id, candidate_id, (s * 0.5::DOUBLE + coalesce(g, 0) * 0.5::DOUBLE) / 1::DOUBLE AS f FROM sc JOIN g USING (query_id, candidate_id))"""
+    tf AS (SELECT id, term, count(*) AS n FROM tm WHERE term NOT IN ({', '.join("'" + w + "'" for w in STOP_WORDS)}) GROUP BY ALL),
+    tl AS (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY n DESC, term) AS place FROM tf QUALIFY place <= 10), {vectors_sql('tv', 'SELECT DISTINCT term AS id, term AS text FROM tl')},
+    own AS (SELECT query_id, candidate_id, term, pos, place FROM r JOIN tl ON id = candidate_id), nd AS (SELECT query_id, term, min(pos * 100 + place) AS pl FROM own GROUP BY ALL),
+    td AS (SELECT nd.query_id, nd.term, pl, round(coalesce(sum(q.x * t.x), 0), 6) AS score FROM nd LEFT JOIN qv q ON q.id = nd.query_id LEFT JOIN tv t ON t.id = nd.term AND t.b = q.b GROUP BY ALL),
+    sd AS (SELECT query_id, term, {_UNIT} AS g FROM td QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY g DESC, pl) <= 8),
+    one AS (SELECT query_id, candidate_id, term, g FROM own JOIN sd USING (query_id, term)),
+    two AS (SELECT DISTINCT query_id, b.candidate_id, one.term, g FROM one JOIN own a USING (query_id, candidate_id) JOIN own b USING (query_id) WHERE a.term = b.term),
+    g AS (SELECT query_id, candidate_id, max(g) AS g FROM (SELECT query_id, candidate_id, g FROM one UNION ALL SELECT query_id, candidate_id, g * exp(-2::DOUBLE) FROM two) GROUP BY ALL),
+    f AS (SELECT query_id, candidate_id, (s * 0.5::DOUBLE + coalesce(g, 0) * 0.5::DOUBLE) / 1::DOUBLE AS f FROM sc LEFT JOIN g USING (query_id, candidate_id))"""
 _PATH_COLUMNS = "query_id, candidate_id, path_rank, round(score, 9) AS score, array_to_string(path, '|') AS path, array_to_string(rels, '|') AS relations"
 
 QUERIES = {
@@ -336,16 +336,6 @@ QUERIES = {
     "llm_partial_response_merge": llm_partial_response_merge,
     "instance_local_rank": instance_local_rank,
 }
-_SIZED = [hybrid_rank, hybrid_pool, pool_counts, evidence_nodes, evidence_edges, graph_features, numeric_features, pointwise_rerank_zero_head, llm_passthrough_rerank, llm_partial_response_merge, graph_links_capped, graph_neighbors_capped]
-QUERIES |= {f"{q.__name__}_reference": partial(q, r=REFERENCE) for q in _SIZED}
-QUERIES |= {f"graph_expand_hop{h}_reference": _expanded(h, REFERENCE) for h in range(3)}
-QUERIES |= {f"graph_score_{a}_reference": _aggregated(a, REFERENCE) for a in _AGG}
-QUERIES |= {
-    "seeds_first_reference": _seeds(SeedRules.of(semantic_k=REFERENCE.seeds.semantic_k), REFERENCE),
-    "seeds_max_reference": _seeds(SeedRules.of("weighted_query", semantic_k=REFERENCE.seeds.semantic_k, merge="max"), REFERENCE),
-    "seeds_nodes_reference": _seeds(SeedRules.of("graph_nodes", semantic_k=REFERENCE.seeds.semantic_k), REFERENCE),
-    "instance_local_rank_reference": partial(instance_local_rank, seeds=REFERENCE_LOCAL_SEEDS),
-}
 SQL = {
     "hybrid_rank": f"{_RANKED} SELECT query_id, rank, candidate_id, round(fused, 7) AS score FROM ranked",
     "semantic_topk": f"{_VECTORS} {_TOP20.format('s')}",

@@ -8,39 +8,29 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_entity
 from ..functions.vectors import dot, l2, unit_interval
 from ..operators.corpus import instances
-from ..operators.graph import lexical_links, shortest_paths
+from ..operators.graph import lexical_links
 from ..operators.pool import weighted
 from ..operators.semantic import DIGITS, top
 from ..sources.derived import hashed
 from ..sources.tables import table
 from .stage import stage
 
-SEEDS, HOPS, TERMS = 3, 2, 10
+#: Nodes that paths start from, hops, terms of a text, paths that are kept as evidence.
+SEEDS, HOPS, TERMS, PATHS = 8, 2, 10, 3
 
 
-def local_rank(spark: SparkSession, d: str, seeds: int = SEEDS, hops: int = HOPS, limit: int = TERMS) -> DataFrame:
-    """Score of a candidate: mean of its cosine with the question and the best seed's score, less exp(-(steps - 1)).
-
-    A question's graph joins its candidates to their most frequent terms; steps are counted in it, at most hops + 1.
-    """
+def project_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(candidates of each question, questions) of the project's tables."""
     raw = table(spark, d, "hotpot_tiny").where("id is not null")
-    rows = stage(instances(raw).groupBy("query_id", "candidate_id").agg(F.min("title").alias("title"), F.min("text").alias("text")), "instances")
-    question = raw.groupBy("id").agg(F.min_by("question", F.struct("created_at", "question")).alias("question"))
-    q = hashed(question, "id", "question").select(F.col("id").alias("query_id"), l2(F.col("vector")).alias("_q"))
-    # The same paragraph may be written differently in two questions: one text stands for it.
-    texts = rows.groupBy("candidate_id").agg(F.min(F.concat_ws("\n", "title", "text")).alias("text"))
-    c = hashed(texts, "candidate_id", "text").select("candidate_id", l2(F.col("vector")).alias("_c"))
-    scored = stage(rows.select("query_id", "candidate_id").join(c, "candidate_id").join(q, "query_id").select("query_id", "candidate_id", unit_interval(F.round(dot(F.col("_q"), F.col("_c")), DIGITS)).alias("semantic_score")), "scored")
-    first = top(scored, seeds, "semantic_score").select("query_id", F.col("candidate_id").alias("source"), F.col("semantic_score").alias("s"))
-    links = lexical_links(texts, "candidate_id", "text", limit).select("candidate_id", "node_id")
-    own = rows.select("query_id", "candidate_id").join(links, "candidate_id")
-    edges = own.select("query_id", F.col("candidate_id").alias("source"), F.col("node_id").alias("target"))
-    both = stage(edges.unionByName(edges.select("query_id", F.col("target").alias("source"), F.col("source").alias("target"))), "local_edges")
-    far = shortest_paths(first.select("query_id", F.col("source").alias("node")), both, hops + 1)
-    reached = far.join(first, ["query_id", "source"]).select("query_id", F.col("node").alias("candidate_id"), (F.col("s") * F.exp(-F.greatest(F.lit(0), F.col("distance") - 1))).alias("g"))
-    best = reached.groupBy("query_id", "candidate_id").agg(F.max("g").alias("graph_score"))
-    out = scored.join(best, ["query_id", "candidate_id"], "left").withColumn("graph_score", F.coalesce("graph_score", F.lit(0.0)))
-    return top(out.withColumn("score", weighted(F.col("semantic_score"), F.col("graph_score"), 0.5, 0.5)), 1_000_000)
+    rows = instances(raw).groupBy("query_id", "candidate_id").agg(F.min("pos").alias("pos"), F.min("title").alias("title"), F.min("text").alias("text"))
+    return stage(rows, "instances"), raw.groupBy(F.col("id").alias("query_id")).agg(F.min_by("question", F.struct("created_at", "question")).alias("text"))
+
+
+def local_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Every question's own candidates, ranked in the question's lexical graph."""
+    rows, asked = project_rows(spark, d)
+    nodes, edges = local_graph(rows)
+    return local_retriever(rows, asked, (stage(nodes, "local_nodes"), stage(edges, "local_edges")), k=1_000_000)[0]
 
 
 def local_graph(rows: DataFrame, records: DataFrame | None = None, lexical: bool = True, limit: int = TERMS, stop_words: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -61,7 +51,7 @@ def local_graph(rows: DataFrame, records: DataFrame | None = None, lexical: bool
         bare, known = rows, None
     own = rows.select("query_id", F.col("_c").alias("node_id"), F.lit("candidate").alias("node_type"), "text", F.struct("pos", F.lit(-1).alias("p")).alias("at"))
     if lexical:
-        texts = bare.groupBy("candidate_id").agg(F.min(F.concat_ws("\n", "title", "text")).alias("text"))
+        texts = bare.groupBy("candidate_id").agg(F.min("text").alias("text"))
         found = bare.select("query_id", "pos", "candidate_id", "_c").join(lexical_links(texts, "candidate_id", "text", limit, stop_words), "candidate_id")
         more = found.select("query_id", "node_id", F.lit("lexical_term").alias("node_type"), F.substring_index("node_id", "::", -1).alias("text"), F.struct("pos", F.col("rank").alias("p")).alias("at"))
         edges = found.select("query_id", F.col("_c").alias("source"), F.col("node_id").alias("target"), F.lit("contains_term").alias("relation"))
@@ -105,7 +95,7 @@ def local_paths(seeds: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     return found
 
 
-def local_retriever(rows: DataFrame, questions: DataFrame, graph: tuple[DataFrame, DataFrame], embedder=hashed, seeds: int = 8, hops: int = HOPS, paths: int = 3, k: int = 100, ws: float = 0.5, wg: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def local_retriever(rows: DataFrame, questions: DataFrame, graph: tuple[DataFrame, DataFrame], embedder=hashed, seeds: int = SEEDS, hops: int = HOPS, paths: int = PATHS, k: int = 100, ws: float = 0.5, wg: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(ranked, paths) of each question's own candidates.
 
     Seeds are the graph's nodes (no candidates) whose text is closest to the question, ties by the place in the graph; a

@@ -16,10 +16,12 @@ from .stage import stage
 
 @dataclass(frozen=True)
 class Retrieval:
-    semantic_k: int = 50
-    seeds: SeedRules = SeedRules(semantic_k=5)
-    expansion: Expansion = Expansion(hops=2, nodes_per_hop=50, neighbours=10, candidates_per_node=20, graph_candidates=100)
-    top_k: int = 20
+    """Sizes of a retrieval.  Fixed values: the defaults."""
+
+    semantic_k: int = 500
+    seeds: SeedRules = SeedRules(semantic_k=20)
+    expansion: Expansion = Expansion()
+    top_k: int = 100
     semantic_weight: float = 0.5
     graph_weight: float = 0.5
     in_order: bool = False

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import embed
 from ..operators.corpus import paragraph_corpus
 from ..operators.graph import Graph, knowledge_graph
+from ..plans import files
 from ..plans.stage import stage
 from .tables import table
 
@@ -80,10 +81,17 @@ class Inputs:
     graph: Graph
 
 
+_prepared: dict[tuple, Inputs] = {}
+
+
 def inputs(spark: SparkSession, d: str) -> Inputs:
-    """Corpus, vectors and graph written once: each is read by several steps of one query."""
-    c = stage(corpus(spark, d), "corpus")
-    g = knowledge_graph(kg_records(spark, d), c, "seq")
-    g = Graph(g.nodes, stage(g.links, "graph_links"), stage(g.edges, "graph_edges"))
-    v = hashed(c.select("candidate_id", F.concat_ws("\n", "title", "text").alias("t")), "candidate_id", "t")
-    return Inputs(queries(spark, d), stage(query_vectors(spark, d), "query_vectors"), c, stage(v, "corpus_vectors"), g)
+    """Corpus, vectors and graph of a folder, written once in a session: they are the assets of a retrieval, which its
+    queries share.  A folder whose files change is prepared anew."""
+    key = (spark.sparkContext.applicationId, d, *files.listing(spark, d))
+    if key not in _prepared:
+        c = stage(corpus(spark, d), "corpus")
+        g = knowledge_graph(kg_records(spark, d), c, "seq")
+        g = Graph(stage(g.nodes, "graph_nodes"), stage(g.links, "graph_links"), stage(g.edges, "graph_edges"))
+        v = hashed(c.select("candidate_id", F.concat_ws("\n", "title", "text").alias("t")), "candidate_id", "t")
+        _prepared[key] = Inputs(queries(spark, d), stage(query_vectors(spark, d), "query_vectors"), c, stage(v, "corpus_vectors"), g)
+    return _prepared[key]
