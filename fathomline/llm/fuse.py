@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.skew import join_by_key, ranked
 from ..plans.stage import stage
 
-#: Bound of a squashed score, from below and (its complement) above; a missing score stands at the lower bound.
+#: Lower bound of a squashed score; a missing score stands there.  Above, scores are told apart however large they are.
 FLOOR = 1e-9
+#: From so many scales on, the logarithm of the logistic is taken from its series: it is too close to 0 for the formula.
+FAR = 15.0
 #: Accuracy of the quantile summaries: a median is off by at most one 10,000th of the group's ranks.
 ACCURACY = 10_000
 
@@ -26,7 +30,7 @@ def pair_scores(df: DataFrame, group: str, item: str, scores: list[str]) -> Data
 
 
 def robust_bounds(pairs: DataFrame, group: str, scores: list[str]) -> DataFrame:
-    """Add ``b_<score>`` in (0, 1): logistic of (x - median) / scale, taken in each group.
+    """Add ``l_<score>``, the logarithm of a value in (0, 1): logistic of (x - median) / scale, taken in each group.
 
     The scale is 1.4826 times the median absolute deviation; where more than half the values are equal it is 1.2533
     times the mean absolute deviation from the median; where all are equal every value gets 0.5.  Quantiles are bounded
@@ -42,13 +46,14 @@ def robust_bounds(pairs: DataFrame, group: str, scores: list[str]) -> DataFrame:
     for s in scores:
         scale = F.when(F.col(f"d_{s}") > 0, F.col(f"d_{s}") * 1.4826).otherwise(F.col(f"a_{s}") * 1.2533)
         z = F.when(scale > 0, (F.col(s) - F.col(f"m_{s}")) / scale).otherwise(F.lit(0.0))
-        bounded = F.greatest(F.lit(FLOOR), F.least(F.lit(1 - FLOOR), 1 / (1 + F.exp(-z))))
-        out = out.withColumn(f"b_{s}", F.when(F.col(s).isNull(), F.lit(FLOOR)).otherwise(bounded))
+        log = F.when(z > FAR, F.exp(-2 * z) / 2 - F.exp(-z)).otherwise(-F.ln(1 + F.exp(-z)))
+        out = out.withColumn(f"l_{s}", F.when(F.col(s).isNull(), F.lit(math.log(FLOOR))).otherwise(F.greatest(F.lit(math.log(FLOOR)), log)))
     return out.drop(*(f"{k}_{s}" for s in scores for k in "mda"))
 
 
 def fused(df: DataFrame, group: str, item: str, weights: dict[str, float]) -> DataFrame:
-    """Every (group, item) once, with its scores, their bounded forms and ``fused``, their weighted geometric mean.
+    """Every (group, item) once, with its scores, the logarithms of their bounded forms, ``fused``, the weighted
+    geometric mean of these, and ``log_fused``, its logarithm, which tells apart what is too close to 1 for ``fused``.
 
     Null and NaN values of a score don't count; an item without a score at all stands at the lower bound in it; rows
     with a null group or item are left out; an empty table gives no rows; other columns are ignored.  Each step is
@@ -59,13 +64,13 @@ def fused(df: DataFrame, group: str, item: str, weights: dict[str, float]) -> Da
     names = list(weights)
     pairs = stage(pair_scores(df, group, item, names), "pairs")
     out = robust_bounds(pairs, group, names)
-    mean = sum((F.lit(float(w)) * F.ln(F.col(f"b_{s}")) for s, w in weights.items()), F.lit(0.0)) / F.lit(float(sum(weights.values())))
-    return out.withColumn("fused", F.exp(mean))
+    mean = sum((F.lit(float(w)) * F.col(f"l_{s}") for s, w in weights.items()), F.lit(0.0)) / F.lit(float(sum(weights.values())))
+    return out.withColumn("log_fused", mean).withColumn("fused", F.exp("log_fused"))
 
 
 def fused_ranking(df: DataFrame, group: str, item: str, weights: dict[str, float]) -> DataFrame:
-    """``fused`` with its 1-based ``rank`` in the group (equal values, to 12 places, by item)."""
-    out = fused(df, group, item, weights).withColumn("_o", -F.round("fused", 12))
+    """``fused`` with its 1-based ``rank`` in the group, by ``log_fused`` (equal ones, to nine digits, by item)."""
+    out = fused(df, group, item, weights).withColumn("_o", F.round(F.ln(F.greatest(-F.col("log_fused"), F.lit(1e-300))), 9))
     return ranked(out, [group], [F.col("_o"), F.col(item)], "rank").drop("_o")
 
 
@@ -77,7 +82,7 @@ def leaders(df: DataFrame, group: str, item: str, weights: dict[str, float], k:
     hold all of them; whether an item is among the first k of each score is then checked exactly.
     """
     names = list(weights)
-    rows = stage(fused(df, group, item, weights).select(group, item, *names, "fused"), "fused")
+    rows = stage(fused(df, group, item, weights).select(group, item, *names, "fused", "log_fused"), "fused")
     total = rows.count()
 
     def nth(c: str, n: int) -> DataFrame:
@@ -88,10 +93,10 @@ def leaders(df: DataFrame, group: str, item: str, weights: dict[str, float], k:
         head = rows.where(F.col(c).isNotNull()).select(group, c).withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= n)
         return head.groupBy(group).agg(F.min(c).alias(f"_t_{c}"))
 
-    limits = rows.groupBy(group).agg(F.count("*").alias("_n")).join(nth("fused", len(names) * (k - 1) + 1), group)
+    limits = rows.groupBy(group).agg(F.count("*").alias("_n")).join(nth("log_fused", len(names) * (k - 1) + 1), group)
     for s in names:
         limits = limits.join(nth(s, k), group)
     near = join_by_key(rows, stage(limits, "limits"), group, "_n", total)
-    for c in ["fused", *names]:
+    for c in ["log_fused", *names]:
         near = near.where(F.col(c) >= F.col(f"_t_{c}"))
     return near.select(group, item, *names, "fused")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,8 @@ def p7_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BEST = "WITH b AS (SELECT query_id, candidate_id, max(semantic_score) AS semantic_score FROM generated_candidates WHERE semantic_score IS NOT NULL AND CAST(semantic_score AS VARCHAR) <> 'nan' GROUP BY ALL)"
+_LN = f"({math.log(1e-9)!r}::DOUBLE)"
+_LOG = "(CASE WHEN {0} > 15 THEN exp(-2 * {0}) / 2 - exp(-{0}) ELSE -ln(1 + exp(-{0})) END)"
 _TOP = f"{_BEST} SELECT query_id, candidate_id, semantic_score FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY semantic_score DESC, candidate_id) <= 10"
 _PAIRS = """p AS (SELECT query_id, candidate_id, max(CASE WHEN CAST(semantic_score AS VARCHAR) <> 'nan' THEN semantic_score END) AS s,
     max(CASE WHEN CAST(graph_score AS VARCHAR) <> 'nan' THEN graph_score END) AS g FROM generated_candidates GROUP BY ALL)"""
@@ -99,11 +103,10 @@ SQL = {
         o AS (SELECT p.*, ms, mg, abs(s - ms) AS ds, abs(g - mg) AS dg FROM p JOIN m USING (query_id)),
         d AS (SELECT query_id, quantile_disc(ds, 0.5) AS qs, quantile_disc(dg, 0.5) AS qg, avg(ds) AS vs, avg(dg) AS vg FROM o GROUP BY query_id),
         z AS (SELECT query_id, candidate_id, s, g, CASE WHEN qs > 0 THEN qs * 1.4826::DOUBLE ELSE vs * 1.2533::DOUBLE END AS cs, CASE WHEN qg > 0 THEN qg * 1.4826::DOUBLE ELSE vg * 1.2533::DOUBLE END AS cg, ms, mg FROM o JOIN d USING (query_id)),
-        b AS (SELECT query_id, candidate_id,
-            CASE WHEN s IS NULL THEN 1e-9 ELSE greatest(1e-9, least(1 - 1e-9, 1 / (1 + exp(-(CASE WHEN cs > 0 THEN (s - ms) / cs ELSE 0 END))))) END AS bs,
-            CASE WHEN g IS NULL THEN 1e-9 ELSE greatest(1e-9, least(1 - 1e-9, 1 / (1 + exp(-(CASE WHEN cg > 0 THEN (g - mg) / cg ELSE 0 END))))) END AS bg FROM z),
-        f AS (SELECT query_id, candidate_id, exp((0.5::DOUBLE * ln(bs) + 0.5::DOUBLE * ln(bg)) / 1.0::DOUBLE) AS fused FROM b)
-        SELECT query_id, candidate_id, round(fused, 6) AS fused, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, candidate_id) AS rank FROM f""",
+        y AS (SELECT query_id, candidate_id, s, g, CASE WHEN cs > 0 THEN (s - ms) / cs ELSE 0 END AS zs, CASE WHEN cg > 0 THEN (g - mg) / cg ELSE 0 END AS zg FROM z),
+        b AS (SELECT query_id, candidate_id, CASE WHEN s IS NULL THEN {_LN} ELSE greatest({_LN}, {_LOG.format('zs')}) END AS ls, CASE WHEN g IS NULL THEN {_LN} ELSE greatest({_LN}, {_LOG.format('zg')}) END AS lg FROM y),
+        f AS (SELECT query_id, candidate_id, (0.5::DOUBLE * ls + 0.5::DOUBLE * lg) / 1.0::DOUBLE AS l FROM b)
+        SELECT query_id, candidate_id, round(exp(l), 6) AS fused, row_number() OVER (PARTITION BY query_id ORDER BY round(ln(greatest(-l, 1e-300)), 9), candidate_id) AS rank FROM f""",
     "p7_found": f"WITH {_KEYS} SELECT DISTINCT first_id AS record_id_a, record_id AS record_id_b FROM m WHERE record_id <> first_id",
     "p7_records": f"WITH {_KEYS} SELECT first_id AS record_id, any_value(copies) AS copies FROM m GROUP BY first_id",
 }

@@ -115,7 +115,7 @@ def test_fused_is_monotone_and_leaders_are_exact(spark):
     assert {(r["q"], r["c"]) for r in leaders(df, "q", "c", W, 5).collect()} == want
     ranks = {}
     for r in fused_ranking(df, "q", "c", W).collect():
-        ranks.setdefault(r["q"], []).append((r["rank"], -round(r["fused"], 12), r["c"]))
+        ranks.setdefault(r["q"], []).append((r["rank"], round(math.log(max(-r["log_fused"], 1e-300)), 9), r["c"]))
     for v in ranks.values():
         v.sort()
         assert [x[0] for x in v] == list(range(1, len(v) + 1)) and [x[1:] for x in v] == sorted(x[1:] for x in v)
@@ -130,6 +130,13 @@ def test_fused_neither_scale_decides(spark):
     assert out["both"] == 1 and out["low"] == 4
 
 
+def test_long_tail_is_told_apart(spark):
+    """Scores dozens and hundreds of scales above the median keep their order, whatever their ids."""
+    rows = [("q", f"c{i:03d}", 0.5, float(i % 7)) for i in range(50)] + [("q", f"a{9 - i}", 0.5, 100.0 * (i + 1)) for i in range(9)]
+    out = sorted(fused_ranking(spark.createDataFrame(rows, "q string, c string, s double, g double"), "q", "c", W).collect(), key=lambda r: r["rank"])
+    assert [r["c"] for r in out[:9]] == [f"a{9 - i}" for i in reversed(range(9))]
+
+
 RECORDS = [("r2", "The  Title", "Some text."), ("r1", "the title!", "SOME TEXT"), ("r3", "the title", "other"), ("r4", None, "x"), ("r5", " ", "x"), ("r6", "x", ""), ("r7", "t", "a" * 100_000), (None, "the title", "some text")]
 RAW = [("r0", '{"text": "some\\n text", "title": "THE TITLE", "n": 1}'), ("r8", '{"title": "the title", "text": "oth'), ("r9", "[1]"), ("r10", None), ("r11", '{"title":"T","text":"' + "A" * 100_000 + '"}')]
 
