@@ -15,6 +15,8 @@ from ..plans.stage import drop_stage, stage, width
 
 #: Neighbours kept while the graph is built, trees, bits of a tree's signature, rows compared in a sorted run.
 K, TREES, BITS, WINDOW = 40, 14, 48, 48
+#: Edges that a tree gives a node to start with; the rounds find the rest.
+FIRST = 12
 #: Rounds of neighbours-of-neighbours at most, and the share of changed edges below which they end.
 ROUNDS, SETTLED = 5, 0.001
 SEED = 7
@@ -212,7 +214,7 @@ def _half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build(df: DataFrame, item: str, vector: str, k: int = K, rounds: int = ROUNDS) -> Index:
     """A graph of the k nearest neighbours of every different direction, by cosine (approximate; see ``clean``)."""
     classes, members = _classes(clean(df, item, vector))
-    first = _forest_edges(classes, k).groupBy("src", "dst").agg(F.max("sim").alias("sim")).withColumn("new", F.lit(True))
+    first = _forest_edges(classes, min(k, FIRST)).groupBy("src", "dst").agg(F.max("sim").alias("sim")).withColumn("new", F.lit(True))
     graph = stage(_top(first, k), "graph")
     vectors = stage(classes.select("cid", "vector").mapInArrow(_half, "u long, x binary"), "half")
     for _ in range(rounds):
