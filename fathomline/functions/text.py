@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,7 +105,3 @@ def parse_reply(c: Column, schema: str) -> Column:
 def canonical_key(*parts: Column) -> Column:
     """SHA-256 of the parts as a JSON object with sorted names."""
     return F.sha2(F.to_json(F.struct(*(p.alias(f"k{i:02d}") for i, p in enumerate(parts)))), 256)
-
-
-def either(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -43,22 +43,33 @@ def pair_features(q: Column, c: Column) -> Column:
     return F.concat(q, c, F.zip_with(q, c, lambda x, y: x * y), F.zip_with(q, c, lambda x, y: F.abs(x - y)))
 
 
-def feature_hash(text: str | None, dim: int, ngrams: int, digest: str) -> np.ndarray:
-    """Signed counts of hashed tokens and n-grams, scaled to length one."""
-    out = np.zeros(dim)
+#: Hashes of grams that a task keeps, as most grams of a batch are frequent ones.
+KEPT = 200_000
+
+
+def feature_hash(text: str | None, dim: int, ngrams: int, digest: str, known: dict[str, tuple[int, int]] | None = None) -> np.ndarray:
+    """Signed counts of hashed tokens and n-grams, scaled to length one.  ``known``: hashes made before."""
+    known = {} if known is None else known
+    out = [0] * dim
     words = WORD.findall((text or "").lower())
     grams = list(words)
     for n in range(2, ngrams + 1):
         grams += [BIGRAM.join(words[i : i + n]) for i in range(len(words) - n + 1)]
     for g in grams:
-        raw = g.encode()
-        if digest == "blake2b":
-            v = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
-        else:  # 60 bits, which any SQL engine can take from the hexadecimal digits
-            v = int(hashlib.md5(raw).hexdigest()[:15], 16)
-        out[v % dim] += 1 if v & 1 else -1
-    norm = np.linalg.norm(out)
-    return out / norm if norm else out
+        at = known.get(g)
+        if at is None:
+            raw = g.encode()
+            if digest == "blake2b":
+                v = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+            else:  # 60 bits, which any SQL engine can take from the hexadecimal digits
+                v = int(hashlib.md5(raw).hexdigest()[:15], 16)
+            if len(known) >= KEPT:
+                known.clear()
+            at = known[g] = v % dim, 1 if v & 1 else -1
+        out[at[0]] += at[1]
+    x = np.array(out, np.float64)
+    norm = np.linalg.norm(x)
+    return x / norm if norm else x
 
 
 def embed(df: DataFrame, item: str, text: str, dim: int = 256, ngrams: int = 2, digest: str = "blake2b", double: bool = False) -> DataFrame:
@@ -68,8 +79,9 @@ def embed(df: DataFrame, item: str, text: str, dim: int = 256, ngrams: int = 2,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, int]] = {}
         for batch in batches:
-            vectors = [feature_hash(t, dim, ngrams, digest) for t in batch.column(1).to_pylist()]
+            vectors = [feature_hash(t, dim, ngrams, digest, known) for t in batch.column(1).to_pylist()]
             kind = pa.float64() if double else pa.float32()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.astype(kind.to_pandas_dtype()) for v in vectors], pa.list_(kind))], names=["item", "vector"])
 

@@ -86,10 +86,6 @@ def audited_positives(positives: DataFrame, corpus: DataFrame | None, mode: str
     return kept, dropped
 
 
-def without_forbidden(df: DataFrame, forbidden: DataFrame, key: str = "query_id") -> DataFrame:
-    return df.join(forbidden.select(key).distinct(), key, "left_anti")
-
-
 def fold_merge(df: DataFrame, key: str, order: str, length: str, fields: list[str]) -> DataFrame:
     """Records of one key merged in order: a later one replaces field by field, but only if its text is strictly longer
     than the text held so far.

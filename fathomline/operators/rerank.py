@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .semantic import top
-
 #: Fixed value: the only prompt version.
 PROMPTS = {"v1": "Order the candidates by how well they answer the query. Reply with a JSON object {\"ranking\": [{\"candidate_id\": ..., \"score\": ...}]}."}
 MAX_TEXT = 4000
@@ -80,7 +78,3 @@ def rerank(ranked: DataFrame, queries: DataFrame, texts: DataFrame, provider: Pr
     asked = requests(ranked, queries, texts, name)
     got, misses = replies(asked, provider, cache)
     return merged(ranked, got, k), misses
-
-
-def first_k(ranked: DataFrame, k: int) -> DataFrame:
-    return top(ranked, k, "score")
