@@ -322,30 +322,17 @@ def test_best_epoch_is_kept(spark):
     assert len(seen) == 3 and (w == seen[0]).all()
 
 
-# ---- The reference's sizes --------------------------------------------------------------------------------------------
+# ---- Full sizes -------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name", ["hybrid_rank", "hybrid_pool", "seeds_first"])
-def test_reference_sizes(spark, monkeypatch, name):
-    """The *_reference queries equal the same SQL rendered with the reference's values, and keep more than the small ones."""
-    import importlib.util
-
-    from compare import same
+def test_queries_take_the_full_sizes():
+    """All retrieval queries and their SQL take these; test_pipeline compares each query with its SQL."""
     from fathomline.operators import queries_ranking as q
-    from fathomline.plans.retrieve import Retrieval
-
-    r = q.REFERENCE
-    e = r.expansion
-    assert (r.semantic_k, r.seeds.semantic_k, e.nodes_per_hop, e.neighbours, e.candidates_per_node, e.graph_candidates, r.top_k, q.REFERENCE_LOCAL_SEEDS) == (500, 20, 500, 100, 100, 1000, 100, 8)
-    monkeypatch.setattr(Retrieval.__init__, "__defaults__", (r.semantic_k, r.seeds, e, r.top_k, 0.5, 0.5, False))
-    spec = importlib.util.spec_from_file_location("fathomline.operators.rendered", q.__file__)
-    rendered = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(rendered)
-    data = "/root/testdata/sf0.001"
-    sql = rendered.SQL[name]
-    assert sql != q.SQL[name]
-    assert "DIFFERENT" not in same(spark, data, name, q.QUERIES[f"{name}_reference"], sql)
-    assert q.QUERIES[f"{name}_reference"](spark, data).count() > q.QUERIES[name](spark, data).count()
+    from fathomline.plans import local
+
+    r, e = q.R, q.R.expansion
+    assert (r.semantic_k, r.seeds.semantic_k, e.hops, e.nodes_per_hop, e.neighbours, e.candidates_per_node, e.graph_candidates, r.top_k, local.SEEDS) == (500, 20, 2, 500, 100, 100, 1000, 100, 8)
+    assert "<= 500" in q.SQL["hybrid_rank"] and "<= 1000" in q.SQL["hybrid_rank"] and not [n for n in q.QUERIES if n.endswith("_reference")]
 
 
 def test_graph_stage_is_ranked_whole(spark, tmp_path):
