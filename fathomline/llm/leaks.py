@@ -1,4 +1,4 @@
-"""Evaluation passages inside a training corpus: SimHash windows, Hamming blocks, exact check."""
+"""Evaluation passages inside a training corpus: SimHash windows, Hamming blocks, weighted shingles."""
 
 from __future__ import annotations
 
@@ -19,10 +19,11 @@ TAG, ENTITY = re.compile(r"<[^<>]{0,40}>"), re.compile(r"&[a-z]{2,6};")
 #: Words in a window: the shortest run that counts as a passage.
 RUN = 8
 #: Fingerprints within this Hamming distance are compared; RADIUS + 1 blocks find all of them.
-RADIUS = 1
-#: Windows of evaluation texts that one pass over the corpus carries (some 60 bytes each).
+RADIUS = 3
+#: Windows of evaluation texts that one pass over the corpus carries (some 100 bytes each).
 PASS_WINDOWS = 200_000
-_BITS = 22
+#: Bits of a block, and (window, fingerprint) or (pair, shingle) rows that are compared at a time.
+_BITS, _AT_ONCE = 64 // (RADIUS + 1), 1 << 20
 
 
 def plain(text: str) -> str:
@@ -52,19 +53,39 @@ def exact(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each, n of them."""
+    return np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+
+
+def _slices(n: np.ndarray) -> Iterator[slice]:
+    """Slices of successive entries of about _AT_ONCE in sum, one entry at least."""
+    total, a = np.cumsum(n), 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + _AT_ONCE, "right")))
+        yield slice(a, b)
+        a = b
+
+
 @dataclass
 class Index:
-    """Windows of the evaluation texts: fingerprints, exact hashes, item and place; blocks: sorted 32-bit halves."""
+    """Evaluation texts: their shingles in order, those of item i from first[i] on, and which fingerprints have which items.
 
-    simhash: np.ndarray
+    simhash: distinct fingerprints; items: those with fingerprint f from of[f] on; blocks: fingerprints by the value of
+    each of their RADIUS + 1 blocks.
+    """
+
+    n_words: np.ndarray
     exact: np.ndarray
-    item: np.ndarray
     place: np.ndarray
-    n_words: np.ndarray
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    first: np.ndarray
+    simhash: np.ndarray
+    items: np.ndarray
+    of: np.ndarray
+    blocks: list[tuple[np.ndarray, np.ndarray]]
 
     @staticmethod
-    def of(texts: list[str | None]) -> Index:
+    def of_texts(texts: list[str | None]) -> Index:
         hashes, bounds = words([plain(t or "") for t in texts], accents=False)
         n_words = np.diff(bounds)
         sim, ex = simhashes(hashes), exact(hashes)
@@ -72,37 +93,78 @@ class Index:
         place = np.arange(len(sim)) - bounds[item] if len(sim) else np.zeros(0, np.int64)
         whole = place + RUN <= n_words[item] if len(sim) else np.zeros(0, bool)
         sim, ex, item, place = sim[whole], ex[whole], item[whole], place[whole]
+        prints, at = np.unique(sim, return_inverse=True)
+        both = np.unique(at * len(texts) + item)
         blocks = []
-        for half in range(RADIUS + 1):
-            part = sim.view(np.uint32).reshape(-1, 2)[:, half] if len(sim) else np.zeros(0, np.uint32)
+        for b in range(RADIUS + 1):
+            part = _block(prints, b)
             order = np.argsort(part, kind="stable")
-            sieve = np.zeros(1 << _BITS, bool)
-            sieve[part & np.uint32((1 << _BITS) - 1)] = True
-            blocks.append((part[order], order, np.packbits(sieve)))
-        return Index(sim, ex, item, place, n_words, blocks)
+            blocks.append((order, np.searchsorted(part[order], np.arange((1 << _BITS) + 1))))
+        first = np.searchsorted(item, np.arange(len(texts) + 1))
+        return Index(n_words, ex, place, first, prints, both % max(1, len(texts)), np.searchsorted(both // max(1, len(texts)), np.arange(len(prints) + 1)), blocks)
 
     def near(self, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window of the document, window of the index) wherever the fingerprints are within RADIUS.
+        """(window of the document, fingerprint of the index) wherever the fingerprints are within RADIUS.
 
         Two fingerprints that differ in at most RADIUS bits agree in one of RADIUS + 1 blocks.
         """
-        pairs = []
-        halves = sim.view(np.uint32).reshape(-1, 2)
-        for half, (part, order, sieve) in enumerate(self.blocks):
-            mine = halves[:, half]
-            low = mine & np.uint32((1 << _BITS) - 1)
-            maybe = np.flatnonzero((sieve[low >> np.uint32(3)] >> (7 - (low & np.uint32(7)))) & 1)
-            lo, hi = np.searchsorted(part, mine[maybe], "left"), np.searchsorted(part, mine[maybe], "right")
-            n = hi - lo
-            if n.sum():
-                left = np.repeat(maybe, n)
-                right = order[np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
+        windows, prints = [], []
+        for b, (order, start) in enumerate(self.blocks):
+            mine = _block(sim, b)
+            lo, n = start[mine], start[mine + 1] - start[mine]
+            maybe = np.flatnonzero(n)
+            lo, n = lo[maybe], n[maybe]
+            for s in _slices(n):
+                left, right = np.repeat(maybe[s], n[s]), order[_spread(lo[s], n[s])]
                 close = np.bitwise_count(sim[left] ^ self.simhash[right]) <= RADIUS
-                pairs.append(np.stack([left[close], right[close]], axis=1))
-        if not pairs:
+                windows.append(left[close])
+                prints.append(right[close])
+        if not sum(map(len, windows)):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        both = np.unique(np.concatenate(pairs), axis=0)
-        return both[:, 0], both[:, 1]
+        both = np.unique(np.concatenate(windows) * len(self.simhash) + np.concatenate(prints))
+        return both // len(self.simhash), both % len(self.simhash)
+
+    def proposed(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """document * items + item of all that have windows whose fingerprints are near."""
+        found = [np.zeros(0, np.int64)]
+        # Fingerprints take 64 bytes a word: a long text is taken in parts that overlap by a window.
+        for a in range(0, max(0, len(hashes) - RUN + 1), 1 << 16):
+            window, fp = self.near(simhashes(hashes[a : a + (1 << 16) + RUN - 1]))
+            doc = np.searchsorted(bounds, window + a, side="right") - 1
+            ok = window + a + RUN <= bounds[doc + 1]
+            both = np.unique(doc[ok] * len(self.simhash) + fp[ok])
+            doc, fp = both // max(1, len(self.simhash)), both % max(1, len(self.simhash))
+            n = self.of[fp + 1] - self.of[fp]
+            found += [np.unique(np.repeat(doc[s], n[s]) * len(self.n_words) + self.items[_spread(self.of[fp[s]], n[s])]) for s in _slices(n)]
+        return np.unique(np.concatenate(found))
+
+    def contained(self, hashes: np.ndarray, bounds: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of proposed pairs those that share shingles, and the weight of these.
+
+        A shingle (RUN successive words) of the item weighs the words that no shared one before it covers, so the weights
+        add up to the words in shared runs.
+        """
+        docs = np.unique(pairs // len(self.n_words))
+        n = np.maximum(bounds[docs + 1] - bounds[docs] - RUN + 1, 0)
+        shingles = np.sort(mixed(exact(hashes)[_spread(bounds[docs], n)] + mixed(np.repeat(docs, n).astype(np.uint64) + np.uint64(1))))
+        keys, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        item = pairs % len(self.n_words)
+        n = self.first[item + 1] - self.first[item]
+        for s in _slices(n):
+            pair, own = np.repeat(pairs[s], n[s]), _spread(self.first[item[s]], n[s])
+            want = mixed(self.exact[own] + mixed((pair // len(self.n_words)).astype(np.uint64) + np.uint64(1)))
+            at = np.searchsorted(shingles, want)
+            shared = at < len(shingles)
+            shared[shared] = shingles[at[shared]] == want[shared]
+            if shared.any():
+                key, weight = covered(pair[shared], self.place[own[shared]])
+                keys.append(key)
+                weights.append(weight)
+        return np.concatenate(keys), np.concatenate(weights)
+
+
+def _block(sim: np.ndarray, b: int) -> np.ndarray:
+    return ((sim >> np.uint64(b * _BITS)) & np.uint64((1 << _BITS) - 1)).astype(np.int64)
 
 
 def covered(key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,21 +185,12 @@ def _scan(index: Index, share: tuple[int, int], names: list[str]):
             found: list[tuple] = []
             for at, some in chunks(texts, 1 << 19):
                 hashes, bounds = words([plain(t) for t in some], accents=False)
-                docs, items = [], []
-                # Fingerprints take 64 bytes a word: a long text is taken in parts that overlap by a window.
-                for a in range(0, max(0, len(hashes) - RUN + 1), 1 << 16):
-                    part = hashes[a : a + (1 << 16) + RUN - 1]
-                    left, right = index.near(simhashes(part))
-                    doc = np.searchsorted(bounds, left + a, side="right") - 1
-                    ok = (exact(part)[left] == index.exact[right]) & (left + a + RUN <= bounds[doc + 1])
-                    docs.append(doc[ok])
-                    items.append(right[ok])
-                if docs and sum(map(len, docs)):
-                    doc, window = np.concatenate(docs), np.concatenate(items)
-                    item, n = index.item[window], len(index.n_words)
-                    keys, words_in = covered(doc * n + item, index.place[window])
-                    enough = words_in * share[1] >= index.n_words[keys % n] * share[0]
-                    found += zip((at + keys[enough] // n).tolist(), (keys[enough] % n).tolist(), words_in[enough].tolist())
+                pairs = index.proposed(hashes, bounds)
+                if len(pairs):
+                    keys, weight = index.contained(hashes, bounds, pairs)
+                    n = len(index.n_words)
+                    enough = weight * share[1] >= index.n_words[keys % n] * share[0]
+                    found += zip((at + keys[enough] // n).tolist(), (keys[enough] % n).tolist(), weight[enough].tolist())
             if found:
                 doc, item, n = zip(*found)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc, pa.int64())), pa.array([names[i] for i in item], pa.string()), pa.array(n, pa.int64())], names=["doc", "item", "words"])
@@ -154,7 +207,8 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
 
     A window of a whole item cannot be found by its fingerprint when 60% of the item is missing (the expected distance
     is near that of unrelated texts), so windows have the length of the shortest run that counts.  Every window that
-    two texts share has distance 0, which the blocks guarantee to find, so no leak is lost; exact hashes verify.
+    two texts share has distance 0, which the blocks guarantee to find, so no leak is lost.  Fingerprints within RADIUS
+    propose a document and an item; the weighted shingles of the whole item, looked up in the document, decide.
 
     The held-out items are a table of fixed, small size.  It is carried to the workers in passes of at most
     PASS_WINDOWS windows; a larger one takes more passes.  The corpus is scanned once a pass and never moved.
@@ -164,7 +218,7 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
     rows = docs.select(F.col(doc), F.col(text))
     out = None
     for names, texts in _passes(held):
-        part = rows.mapInArrow(_scan(Index.of(texts), share, names), schema)
+        part = rows.mapInArrow(_scan(Index.of_texts(texts), share, names), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from fathomline.llm.chars import words
-from fathomline.llm.leaks import RUN, leaks, simhashes
+from fathomline.llm.leaks import RADIUS, RUN, Index, leaks, simhashes
 from fathomline.llm.overlap import overlaps, record_pairs, report, shared_words
 from fathomline.llm.pack import pack, plan
 from fathomline.llm.split import doubled, split_documents
@@ -143,6 +143,33 @@ def test_simhash_of_equal_windows():
     assert simhashes(h[:8])[0] == simhashes(h[8:])[0]
 
 
+def test_near_fingerprints_against_brute_force():
+    """All fingerprints within a radius that is more than equality, and no others."""
+    r = np.random.default_rng(3)
+    index = Index.of_texts([" ".join(f"w{r.integers(500)}" for _ in range(40)) for _ in range(30)])
+    sim = np.repeat(index.simhash, 6)
+    for flips in range(6):
+        for i in range(flips, len(sim), 6):
+            for bit in r.choice(64, flips, replace=False):
+                sim[i] ^= np.uint64(1) << np.uint64(bit)
+    got = set(zip(*(x.tolist() for x in index.near(sim))))
+    want = {(i, j) for i, s in enumerate(sim) for j in np.flatnonzero(np.bitwise_count(index.simhash ^ s) <= RADIUS).tolist()}
+    assert got == want and RADIUS > 1 and all((i, i // 6) in got for i in range(len(sim)) if i % 6 <= 3)
+
+
+def test_weighted_shingles_decide_proposed_pairs():
+    """Reordered words have the same fingerprint and propose the item; the shingles of the whole item decide."""
+    item = [f"w{i}" for i in range(20)]
+    texts = [" ".join(item[8:4:-1] + item[4:0:-1]), " ".join(item[:8] + ["x"] + item[9:19]), " ".join(item), "no such words " * 9]
+    index = Index.of_texts([" ".join(item), "short item"])
+    hashes, bounds = words(texts, accents=False)
+    pairs = index.proposed(hashes, bounds)
+    assert pairs.tolist() == [0, 2, 4]  # text * items + item
+    keys, weight = index.contained(hashes, bounds, pairs)
+    assert keys.tolist() == [2, 4] and weight.tolist() == [18, 20]
+    assert len(index.contained(hashes, bounds, pairs[:0])[0]) == 0
+
+
 def bag(t):
     return collections.Counter(re.findall(r"[^\W_]+", (t or "").lower()))
 
