@@ -18,7 +18,10 @@ NUMERIC = ["f_semantic", "f_graph", "f_score", "f_nodes", "f_edges", "f_paths",
 
 def numeric(ranked: DataFrame, graph: DataFrame) -> DataFrame:
     """Seven numbers of each ranked pair: its three scores and the scaled counts of its evidence."""
-    rows = ranked.join(graph, ["query_id", "candidate_id"], "left").na.fill(0, ["node_count", "edge_count", "path_count", "best_path_hops"])
+    return numbers(ranked.join(graph, ["query_id", "candidate_id"], "left").na.fill(0, ["node_count", "edge_count", "path_count", "best_path_hops"]))
+
+
+def numbers(rows: DataFrame) -> DataFrame:
     return rows.select(
         "query_id", "candidate_id", "rank", F.col("semantic_score").alias("f_semantic"), F.col("graph_score").alias("f_graph"), F.col("score").alias("f_score"),
         (F.log1p("node_count") / 5).alias("f_nodes"), (F.log1p("edge_count") / 5).alias("f_edges"), (F.log1p("path_count") / 3).alias("f_paths"), (F.col("best_path_hops") / 10).alias("f_hops"),
@@ -143,6 +146,22 @@ def score_sets(rows: DataFrame, model: Callable, k: int, candidates: int = 100)
     return top(scored, k, "neural_score", rank="neural_rank")
 
 
+def by_points(model: PointwiseMLP) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Scores of a query's rows by a pointwise model, as ``score_points`` has them."""
+    return lambda x, score: model(x, score)[0]
+
+
+def by_sets(model: Callable, candidates: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Scores of a query's rows, in rank order, by a model that sees them together, as ``score_sets`` has them."""
+
+    def run(x: np.ndarray, _) -> np.ndarray:
+        filled, mask = np.zeros((candidates, x.shape[1]), np.float32), np.arange(candidates) < len(x)
+        filled[: len(x)] = x
+        return model(filled, mask)[0][: len(x)].astype(float)
+
+    return run
+
+
 def _gradient(w: np.ndarray):
     """Sum of the queries' gradients of one task: a row of the features' length, whatever the number of queries."""
 
