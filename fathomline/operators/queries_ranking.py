@@ -105,6 +105,8 @@ def _aggregated(how: str, r: Retrieval = R):
 
 
 def hybrid_pool(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
+    if w := walked(spark, d, r):
+        return w.pool(7, 9)
     return over(spark, d, r).pool.select("query_id", "candidate_id", F.round("semantic_score", 7).alias("semantic_score"), F.round("graph_score", 9).alias("graph_score"), "by_search", "by_graph")
 
 
