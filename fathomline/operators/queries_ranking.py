@@ -114,6 +114,11 @@ def pool_counts(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
     return pool.pool_counts(over(spark, d, r).pool)
 
 
+def _ranked(spark: SparkSession, d: str, r: Retrieval) -> DataFrame:
+    w = walked(spark, d, r)
+    return w.ranked() if w else over(spark, d, r).ranked
+
+
 def hybrid_rank(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
     return over(spark, d, r).ranked.select("query_id", "rank", "candidate_id", F.round("score", 7).alias("score"))
 
@@ -160,9 +165,13 @@ def set_transformer_rerank(spark: SparkSession, d: str, r: Retrieval = R) -> Dat
     return features.score_sets(_full(*_chosen(spark, d, r)), model, 10, r.top_k)
 
 
+def _asked(spark: SparkSession, d: str, r: Retrieval, provider: rerank.Provider, name: str) -> DataFrame:
+    i = inputs(spark, d)
+    return rerank.rerank(stage(_ranked(spark, d, r).select("query_id", "candidate_id", "rank"), "ranked"), i.queries, i.corpus, provider, name, 10)[0]
+
+
 def llm_passthrough_rerank(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
-    f = over(spark, d, r)
-    return rerank.rerank(f.ranked, f.inputs.queries, f.inputs.corpus, rerank.passthrough, "passthrough", 10)[0]
+    return _asked(spark, d, r, rerank.passthrough, "passthrough")
 
 
 def _partial(request: dict) -> list[dict]:
