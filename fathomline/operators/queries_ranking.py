@@ -145,8 +145,11 @@ def graph_features(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
 
 
 def numeric_features(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
-    f, chosen = _chosen(spark, d, r)
-    n = features.numeric(chosen, pool.graph_features(chosen, stage(f.paths(chosen), "paths")))
+    if w := walked(spark, d, r):
+        n = features.numbers(w.ranked())
+    else:
+        f, chosen = _chosen(spark, d, r)
+        n = features.numeric(chosen, pool.graph_features(chosen, stage(f.paths(chosen), "paths")))
     return n.select("query_id", "candidate_id", "rank", *(F.round(c, 7).alias(c) for c in features.NUMERIC))
 
 
