@@ -111,7 +111,8 @@ def hybrid_pool(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
 
 
 def pool_counts(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
-    return pool.pool_counts(over(spark, d, r).pool)
+    w = walked(spark, d, r)
+    return w.counts() if w else pool.pool_counts(over(spark, d, r).pool)
 
 
 def _ranked(spark: SparkSession, d: str, r: Retrieval) -> DataFrame:
