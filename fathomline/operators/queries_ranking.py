@@ -136,6 +136,8 @@ def evidence_nodes(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
 
 
 def evidence_edges(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
+    if w := walked(spark, d, r):
+        return pool.listed_edges(w.ranked(paths=True))
     f, chosen = _chosen(spark, d, r)
     return pool.evidence_edges(chosen, f.paths(chosen))
 
