@@ -143,6 +143,8 @@ def evidence_edges(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
 
 
 def graph_features(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
+    if w := walked(spark, d, r):
+        return w.ranked().select("query_id", "candidate_id", *pool.COUNTS)
     f, chosen = _chosen(spark, d, r)
     return pool.graph_features(chosen, stage(f.paths(chosen), "paths"))
 
