@@ -121,7 +121,7 @@ def _ranked(spark: SparkSession, d: str, r: Retrieval) -> DataFrame:
 
 
 def hybrid_rank(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
-    return over(spark, d, r).ranked.select("query_id", "rank", "candidate_id", F.round("score", 7).alias("score"))
+    return _ranked(spark, d, r).select("query_id", "rank", "candidate_id", F.round("score", 7).alias("score"))
 
 
 def _chosen(spark: SparkSession, d: str, r: Retrieval = R):
