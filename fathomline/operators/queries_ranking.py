@@ -131,6 +131,8 @@ def _chosen(spark: SparkSession, d: str, r: Retrieval = R):
 
 
 def evidence_nodes(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
+    if w := walked(spark, d, r):
+        return pool.listed_nodes(w.ranked(paths=True))
     f, chosen = _chosen(spark, d, r)
     return pool.evidence_nodes(chosen, f.paths(chosen))
 
