@@ -191,8 +191,7 @@ def _partial(request: dict) -> list[dict]:
 
 
 def llm_partial_response_merge(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
-    f = over(spark, d, r)
-    return rerank.rerank(f.ranked, f.inputs.queries, f.inputs.corpus, _partial, "partial", 10)[0]
+    return _asked(spark, d, r, _partial, "partial")
 
 
 def instance_local_rank(spark: SparkSession, d: str) -> DataFrame:
