@@ -166,7 +166,11 @@ def _full(f, chosen: DataFrame) -> DataFrame:
 
 
 def pointwise_rerank_zero_head(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
-    out = features.score_points(_full(*_chosen(spark, d, r)), features.PointwiseMLP(4 * DIM + 7), 10)
+    model = features.PointwiseMLP(4 * DIM + 7)
+    if w := walked(spark, d, r):
+        out = w.ranked(model=features.by_points(model), k=10)
+    else:
+        out = features.score_points(_full(*_chosen(spark, d, r)), model, 10)
     return out.select("query_id", "candidate_id", F.round("neural_score", 7).alias("neural_score"), "neural_rank")
 
 
