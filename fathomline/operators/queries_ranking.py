@@ -176,6 +176,8 @@ def pointwise_rerank_zero_head(spark: SparkSession, d: str, r: Retrieval = R) ->
 
 def set_transformer_rerank(spark: SparkSession, d: str, r: Retrieval = R) -> DataFrame:
     model = features.SetTransformer(4 * DIM + 7)
+    if w := walked(spark, d, r):
+        return w.ranked(model=features.by_sets(model, r.top_k), k=10)
     return features.score_sets(_full(*_chosen(spark, d, r)), model, 10, r.top_k)
 
 
